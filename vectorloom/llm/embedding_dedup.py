@@ -126,8 +126,8 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.95, recall: fl
     the first table in which it meets, so links need no shuffle to be distinct.
 
     Returns (id_col, n_links long, component_id long, kept boolean). Vectors that are null, empty, zero or hold null
-    or non-finite components, and vectors of different lengths, link with nothing. Ids are distinct integers; rows
-    without one are left out. An empty table gives an empty result; other columns are ignored.
+    or non-finite components, and vectors of different lengths, link with nothing. Rows without an id are left out; of
+    rows that share an id one counts (the largest by hash). An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "embed")
@@ -135,7 +135,8 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.95, recall: fl
     kind = "array<float>" if dtype == "<f4" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v")).where("id is not null")
     bits, tables = plan_tables(rows.count(), threshold, recall)
-    base = scratch.keep(rows.mapInArrow(_hash(bits, tables, seed), BASE))
+    hashed = rows.mapInArrow(_hash(bits, tables, seed), BASE).groupBy("id").agg(F.max(F.struct("h1", "h2", "vec", "keys")).alias("s"))
+    base = scratch.keep(hashed.select("id", "s.*"))
     classes = base.where("vec is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.keep(classes)
     reps = base.join(classes, base.id == classes.rep, "inner").select("rep", "copies", "vec", "keys")

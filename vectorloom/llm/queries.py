@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import embedding_dedup, hilbert_shards, ngram_join
+from vectorloom.llm import embedding_dedup, hilbert_shards, language_id, ngram_join, quality, warc
 from vectorloom.llm.common import table
 
 
@@ -14,17 +14,29 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op7_hilbert_shards, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_warc_round_trip, op4_language_id, op7_hilbert_shards, op9_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_hilbert_shards": hilbert_shards.oracle()}
+    return {"op2_warc_round_trip": warc.oracle(), "op7_hilbert_shards": hilbert_shards.oracle()}
