@@ -89,25 +89,63 @@ def mix_int(x: int) -> int:
     return x ^ (x >> 31)
 
 
-class WordHashes(dict):
-    """Word bytes to a 64-bit hash; remembers a bounded number of words."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        self[word] = value
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+_BLOCK = 1 << 21
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_LETTERS = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2^64
+_powers: list[np.ndarray] = [np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)]
+
+
+def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < size:
+        size = max(size, _BLOCK + (1 << 16))
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            out = np.full(size, base, dtype=np.uint64)
+            out[0] = 1
+            with np.errstate(over="ignore"):
+                _powers[k] = np.multiply.accumulate(out)
+    return _powers[0], _powers[1]
+
+
+def word_hashes(texts: list[str | None], drop: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and where each text's words start (one entry more).
+
+    A-Z are lower-cased; words are runs of bytes other than space and 0x09 to 0x0D. Each word's hash is a
+    difference of running polynomial sums over the bytes, taken for a block of texts at once. A null text has no words.
+    Bytes in ``drop`` are left out first.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    if drop:
+        raw = [r.translate(None, drop) for r in raw]
+    begin = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+    joined = np.frombuffer(b"\n".join([*raw, b""]).lower(), dtype=np.uint8)
+    del raw
+    hashes, places, at = [], [], 0
+    while at < len(joined):
+        stop = min(len(joined), at + _BLOCK)
+        if stop < len(joined):  # cut behind white space
+            white = np.flatnonzero(_WHITE[joined[at:stop]])
+            while not len(white):
+                white = np.flatnonzero(_WHITE[joined[stop : stop + _BLOCK]]) + stop - at
+                stop = min(len(joined), stop + _BLOCK)
+            stop = at + int(white[-1]) + 1
+        block = joined[at:stop]
+        power, inverse = _power_tables(len(block) + 1)
+        inside = ~_WHITE[block]
+        step = np.diff(np.concatenate(([False], inside, [False])).view(np.int8))
+        starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        sums = np.zeros(len(block) + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_LETTERS[block] * power[: len(block)], out=sums[1:])
+            hashes.append(mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+        places.append(starts + at)
+        at = stop
+    flat = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
+    return flat, np.searchsorted(np.concatenate(places) if places else np.empty(0, dtype=np.int64), begin)
+
+
+def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow batch whose texts hold about ``limit`` characters at most (one row at least)."""
     rows = batch.num_rows
     if not rows:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import Scratch, WordHashes, connected_components, local_forest, mix, mix_int, text_slices
+from vectorloom.llm.common import Scratch, connected_components, local_forest, mix, mix_int, text_slices, word_hashes
 
 #: Distinct sets and elements in one chunk of a large candidate component.
 CHUNK, CHUNK_ELEMENTS = 1000, 600_000
@@ -77,34 +77,31 @@ class Zones:
         return -(-self.num * (a + b) // (self.num + self.den))
 
 
-def shingle_sets(texts: list[str | None], n: int, words: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Ascending distinct 64-bit hashes of the word n-grams of each text.
 
-    A-Z are lower-cased and words are runs of bytes other than space and \\t\\n\\v\\f\\r. A text of fewer than n words
+    A-Z are lower-cased and words are runs of bytes other than space and 0x09 to 0x0D. A text of fewer than n words
     gives its whole sequence as one element; null, empty or blank texts give an empty set.
     """
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
-    counts = [len(w) for w in split]
-    flat = words.array([w for doc in split for w in doc])
-    del split
+    flat, starts = word_hashes(texts)
     with np.errstate(over="ignore"):
-        step = np.uint64(0x100000001B3 * 2 + 1)
+        step = np.uint64(0x2000002000367)
         acc = flat.copy()
         for j in range(1, n):
             acc[: len(flat) - j] = acc[: len(flat) - j] * step + flat[j:]
         acc = mix(acc + np.uint64(n))
-        out, at = [], 0
-        for count in counts:
-            if count >= n:
-                out.append(np.unique(acc[at : at + count - n + 1]))
-            elif count:
-                h = mix_int(count)
-                for w in flat[at : at + count].tolist():
+        out = []
+        for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if end - at >= n:
+                own = np.sort(acc[at : end - n + 1])
+                out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+            elif end > at:
+                h = mix_int(end - at)
+                for w in flat[at:end].tolist():
                     h = mix_int(h ^ w)
                 out.append(np.array([h], dtype=np.uint64))
             else:
                 out.append(np.empty(0, dtype=np.uint64))
-            at += count
     return out
 
 
@@ -145,11 +142,11 @@ def _rows(kind, key, a, b=None, c=None, d=None) -> pa.RecordBatch:
 
 def _map_keys(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zones, words = Zones(num, den), WordHashes()
+        zones = Zones(num, den)
         for batch in batches:
             for start, stop in text_slices(batch, "text"):
                 ids = batch.column(0).slice(start, stop - start).to_numpy()
-                sets = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist(), n, words)
+                sets = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist(), n)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 with np.errstate(over="ignore"):
                     h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
@@ -222,11 +219,10 @@ SETS_DDL = "cluster long, node long, copies long, chunk int, chunks int, element
 
 def _map_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             for start, stop in text_slices(batch, "text"):
                 part = batch.slice(start, stop - start)
-                sets = shingle_sets(part.column("text").to_pylist(), n, words)
+                sets = shingle_sets(part.column("text").to_pylist(), n)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "node", "copies", "chunk", "chunks")), pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=SETS)
 
     return run
@@ -351,6 +347,10 @@ def _join_blocks(num: int, den: int):
                     if key and (out := block(key[1], key[2], rows)):
                         yield out
                     key, rows = (cluster, i, j), []
+                if rows and rows[-1][0] == node:  # rows that share an id
+                    if len(elements) > len(rows[-1][3]):
+                        rows[-1] = (node, copies, chunk, elements)
+                    continue
                 rows.append((node, copies, chunk, elements))
         if key and (out := block(key[1], key[2], rows)):
             yield out
@@ -364,14 +364,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     Returns (id_col, n_shingles long, class_id long, n_links long, component_id long): class_id is the smallest id with the same
     set, n_links the number of other documents linked directly, component_id the smallest id reachable by links,
     itself included. Null, empty or blank texts have n_shingles 0, no links, and their own id as class and component.
-    Ids must be distinct integers; rows with a null id are left out. Other columns are ignored, an empty table gives
-    an empty result. Equal texts form a class and are joined once. Thresholds below 0.75 are refused.
+    Rows with a null id are left out; of rows that share an id the one with the largest set counts. Other columns are
+    ignored, an empty table gives an empty result. Equal texts form a class and are joined once. Thresholds below 0.75 are refused.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     met = scratch.keep(base.mapInArrow(_map_keys(n, num, den), ROWS_DDL).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, ROWS_DDL))
-    info = met.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("size"), F.col("c").alias("h1"), F.col("d").alias("h2"))
+    info = met.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max(F.struct(F.col("b").alias("size"), F.col("c").alias("h1"), F.col("d").alias("h2"))).alias("s")).select("node", "s.*")
     near = scratch.keep(connected_components(met.where("kind = 2").select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).join(info, "node").select("node", F.col("component").alias("cluster"), "size", "h1", "h2"))
     classes = scratch.keep(near.groupBy("cluster", "size", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
     wide = classes.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("size").alias("elements")).where("sets > 1")
