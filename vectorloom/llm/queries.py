@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectorloom.llm import embedding_dedup, hilbert_shards, language_id, ngram_join, quality, warc
+from vectorloom.llm import decontaminate, embedding_dedup, hilbert_shards, html_extract, language_id, licenses, ngram_join, packing, quality, warc
 from vectorloom.llm.common import table
 
 
@@ -18,14 +18,30 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.hilbert_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,7 +51,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_warc_round_trip, op4_language_id, op7_hilbert_shards, op9_quality, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_warc_round_trip, op3_best_fit_pack, op4_language_id, op5_license_scan, op6_benchmark_matches, op7_hilbert_shards, op8_extract_pages, op9_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
