@@ -386,3 +386,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     by_class = classes.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "size", "h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     of = near.join(by_class, ["cluster", "size", "h1", "h2"]).select("node", "rep", "links", "component")
     return info.join(of, "node", "left").select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("rep", "node").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with all their columns. Rows without an id stay
+    out; rows that share an id stay or go together; documents without words are alone and stay."""
+    joined = ngram_jaccard_join(docs, n, num, den, id_col, text_col)
+    first = joined.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col))
+    return docs.join(first.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns)
