@@ -5,12 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -67,6 +67,15 @@ class Scratch:
             pass
 
 
+def sample_share(rows: int, wanted: int) -> Callable[..., Column]:
+    """A filter on an id column that keeps about ``wanted`` of ``rows`` rows by the hash of the id: the same rows each
+    time, without a sort and without more from a partition than its share. All rows if there are no more."""
+    if rows <= wanted:
+        return lambda *ids: F.lit(True)
+    cut = int((1 << 40) * wanted / rows)
+    return lambda *ids: F.pmod(F.xxhash64(*ids), F.lit(1 << 40)) < cut
+
+
 #: The increment and multipliers of the splitmix64 finaliser.
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 M64 = (1 << 64) - 1

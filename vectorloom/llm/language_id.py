@@ -151,7 +151,10 @@ def training_rows(docs: DataFrame, per_lang: int = 600, max_bytes: int = 20_000,
     """A bounded sample of labelled rows outside the held-out quarter: of each language the ``per_lang`` rows with the
     smallest hash among texts of 1 to ``max_bytes`` bytes."""
     usable = docs.where(~F.coalesce(is_held_out(id_col), F.lit(True)) & F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, max_bytes))
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
+    # a first cut by hash, so that no partition sends more than its share of a language to be ranked
+    sizes = usable.groupBy(lang_col).agg(F.count("*").alias("_n"))
+    usable = usable.join(F.broadcast(sizes), lang_col).where((F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.lit(float(2 * per_lang << 30)) / F.col("_n"))).drop("_n")
+    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)), id_col))
     ids = usable.select(id_col, lang_col).withColumn("_rank", rank).where(F.col("_rank") <= per_lang).select(id_col).distinct()
     rows = usable.select(id_col, text_col, lang_col).join(F.broadcast(ids), id_col)  # per_lang ids a language
     return [(r[0], r[1]) for r in rows.select(text_col, lang_col).collect()]
