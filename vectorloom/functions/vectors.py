@@ -62,11 +62,12 @@ def slerp(a: Column, b: Column, t: float) -> Column:
     """Spherical interpolation of direction with linear interpolation of length. (Anti)parallel vectors are
     interpolated linearly; zero vectors raise."""
     na, nb = norm(a), norm(b)
-    parts = F.struct(na.alias("na"), nb.alias("nb"), F.when((na == 0) | (nb == 0), F.raise_error(F.lit("slerp of a zero vector")).cast("double")).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (na * nb)))).alias("c"))
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), na * nb)))
+    parts = F.struct(na.alias("na"), nb.alias("nb"), F.when((na == 0) | (nb == 0), F.raise_error(F.lit("slerp of a zero vector")).cast("double")).otherwise(cosine).alias("c"))
 
     def blend(p: Column) -> Column:
         angle = F.acos(p["c"])
-        weights = F.struct(F.sin(angle).alias("s"), (F.sin((1 - t) * angle) / F.sin(angle) / p["na"]).alias("wa"), (F.sin(t * angle) / F.sin(angle) / p["nb"]).alias("wb"), (p["na"] + t * (p["nb"] - p["na"])).alias("m"))
+        weights = F.struct(F.sin(angle).alias("s"), (F.try_divide(F.sin((1 - t) * angle), F.sin(angle)) / p["na"]).alias("wa"), (F.try_divide(F.sin(t * angle), F.sin(angle)) / p["nb"]).alias("wb"), (p["na"] + t * (p["nb"] - p["na"])).alias("m"))
         return let(weights, lambda w: F.zip_with(a, b, lambda x, y: F.when(w["s"] < 1e-6, x + t * (y - x)).otherwise((x * w["wa"] + y * w["wb"]) * w["m"])))
 
     return same_dim(a, b, let(parts, blend))

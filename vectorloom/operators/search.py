@@ -125,12 +125,22 @@ def rrf(lists: DataFrame, k: float = 60.0, by: list[str] | None = None) -> DataF
     aggs = [F.sum(1.0 / (F.lit(float(k)) + place)).alias("score"), F.min(F.struct("list_id", "pos")).alias("first")]
     if "metadata" in lists.columns:
         entries = F.array_sort(F.collect_list(F.struct("list_id", "pos", F.map_entries("metadata").alias("e"))))
-        aggs.append(F.map_from_entries(F.flatten(F.transform(entries, lambda x: F.coalesce(x["e"], F.array().cast("array<struct<key:string,value:string>>"))))).alias("metadata"))
+        none = F.array().cast(f"array<struct<key:{_parts(lists)[0]},value:{_parts(lists)[1]}>>")
+        aggs.append(F.flatten(F.transform(entries, lambda x: F.coalesce(x["e"], none))).alias("metadata"))
     out = lists.groupBy(*by, "id").agg(*aggs)
+    if "metadata" in out.columns:
+        every = F.col("metadata")
+        last = F.transform(F.array_distinct(F.transform(every, lambda e: e["key"])), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(every, lambda e: e["key"] == k), -1)["value"].alias("value")))
+        out = out.withColumn("metadata", F.map_from_entries(last))
     order = [F.round("score", 12).desc(), F.col("first").asc()]
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).drop("first")
 
 
+def _parts(lists: DataFrame) -> tuple[str, str]:
+    kind = lists.schema["metadata"].dataType
+    return kind.keyType.simpleString(), kind.valueType.simpleString()
+
+
 def rsf(lists: DataFrame, weights: dict[int, float] | None = None, by: list[str] | None = None) -> DataFrame:
     """Relative score fusion of (list_id, id, pos, score) rows: scores of each list to [0, 1] (a list of equal scores:
     1), times the list's weight (1 if not named), summed. A missing score is 0."""

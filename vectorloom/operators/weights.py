@@ -90,9 +90,9 @@ def from_bytes(data: bytes) -> Weights:
     if len(data) < 8:
         raise ValidationError("data", "is shorter than its header")
     dim, routed = struct.unpack("<IB3x", data[:8])
-    values = np.frombuffer(data, dtype="<f4", offset=8).astype(np.float64)
-    if len(values) != dim * dim + dim * (2 if routed else 1):
+    if len(data) != 8 + 4 * (dim * dim + dim * (2 if routed else 1)):
         raise ValidationError("data", "length does not suit its dimension")
+    values = np.frombuffer(data, dtype="<f4", offset=8).astype(np.float64)
     square = dim * dim
     return Weights(values[:square].reshape(dim, dim), values[square : square + dim], values[square + dim :] if routed else None)
 
