@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.common import Scratch, text_slices
+from vectorloom.llm.common import Scratch, sample_share, text_slices
 
 FEATURES = ("log_words", "upper", "symbols", "digits", "bars", "exclaims", "distinct", "top_word", "repeats", "line_copies", "word_length", "line_words", "long_words", "sentence_ends", "letters")
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 upper, 2 lower or non-ASCII, 3 digit, 4 white, 5 symbol, 6 bar, 7 exclamation, 0 other
@@ -123,7 +123,7 @@ def strength(groups: DataFrame, parent: str) -> float:
 def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, cut: float = 0.35, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", scratch: Scratch | None = None) -> DataFrame:
     """Posterior quality of every document: classifier evidence with the prior odds of its site.
 
-    The classifier learns from at most ``train_rows`` labelled documents (those with the smallest hash of the id).
+    The classifier learns from about ``train_rows`` labelled documents at most (a share of them by the hash of the id).
     The site levels are ``host_col`` and, below it, ``path_col``; a null is a site of its own. A document's site
     prior leaves its own evidence out. posterior logit = classifier logit - logit(global) + logit(site prior).
 
@@ -138,7 +138,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000,
     kind = rows.schema["id"].dataType.simpleString()
     known = scratch.keep(rows.mapInArrow(_map_features, f"id {kind}, host string, path string, features array<double>"))
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    sample = known.join(marks, "id").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("features", "y").collect()
+    marks = scratch.keep(marks)
+    share = sample_share(marks.count(), train_rows)
+    sample = known.join(marks.where(share("id")), "id").select("features", "y").collect()
     x = np.array([r[0] for r in sample], dtype=float).reshape(len(sample), len(FEATURES))
     model = fit_evidence(x, np.array([float(r[1] > 0) for r in sample]))
     scored = scratch.keep(known.mapInArrow(_map_score(model), f"id {kind}, host string, path string, p double"))
