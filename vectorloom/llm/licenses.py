@@ -54,14 +54,14 @@ class Scanner:
         self.names = [n for n, _ in templates]
         self.words = [word_hashes([t], DROP)[0] for _, t in templates]
         self.sets = [set(self.shingles(w).tolist()) for w in self.words]
-        self.sizes = sorted({self.window(len(w)) for w in self.words if len(w)})
+        self.sizes = sorted({self.window(len(w)) for w in self.words})
         self.bands = plan_bands(0.375 * containment / (1 + 0.75 * (1 - containment)), 1, guarantee)
         rng = np.random.default_rng(seed)
         self.factor = rng.integers(0, 1 << 62, self.bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = rng.integers(0, 1 << 63, self.bands, dtype=np.uint64)
         self.tables: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for size in self.sizes:
-            own = [i for i, w in enumerate(self.words) if len(w) and self.window(len(w)) == size]
+            own = [i for i, w in enumerate(self.words) if self.window(len(w)) == size]
             bands = []
             for b in range(self.bands):
                 pairs = sorted((int(self.hashes(self.shingles(self.words[i]), b).min()), i) for i in own)
@@ -73,8 +73,6 @@ class Scanner:
 
     @staticmethod
     def shingles(words: np.ndarray) -> np.ndarray:
-        if len(words) < SHINGLE:
-            return mix(words)
         with np.errstate(over="ignore"):
             return mix(words[:-1] * np.uint64(0x2000002000367) + words[1:])
 
@@ -93,7 +91,7 @@ class Scanner:
         """(text, template, first word, last word, containment) of every verified match, matches that overlap a better
         one left out."""
         flat, bounds = word_hashes(texts, DROP)
-        if not len(flat):
+        if len(flat) < SHINGLE:
             return []
         shingle = self.shingles(flat)
         seen: set[tuple[int, int, int]] = set()
@@ -148,9 +146,6 @@ class Scanner:
     def verify(self, template: int, words: np.ndarray) -> tuple[int, int, float] | None:
         """(first, last, containment) if the stretch holds enough of the template's shingles."""
         own = self.sets[template]
-        if len(self.words[template]) < SHINGLE <= len(words):
-            at = np.flatnonzero(words == self.words[template][0])
-            return (int(at[0]), int(at[0]), 1.0) if len(at) else None
         places = [i for i, h in enumerate(self.shingles(words).tolist()) if h in own]
         if not places:
             return None
@@ -164,12 +159,15 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     last_word long, containment double), one row for each place.
 
     Words are compared without case (A-Z) and without ASCII punctuation but the hyphen. A place holds at least
-    ``containment`` of the template's two-word shingles (a one-word template must occur); of places that overlap the
-    best stays. Windows meet templates with probability ``guarantee`` or more. One pass, no shuffle. Null, empty and
+    ``containment`` of the template's two-word shingles; of places that overlap the best stays. Templates of fewer than
+    two words are refused. Windows meet templates with probability ``guarantee`` or more. One pass, no shuffle. Null, empty and
     blank texts hold nothing; repeated rows give repeated rows; an empty table or no templates give an empty result;
     other columns are ignored.
     """
-    scanner_args = (templates if templates is not None else TEMPLATES, containment, guarantee, seed)
+    templates = TEMPLATES if templates is None else templates
+    if any(len(word_hashes([text], DROP)[0]) < SHINGLE for _, text in templates):
+        raise ValueError("a template needs two words at least")
+    scanner_args = (templates, containment, guarantee, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(*scanner_args)

@@ -367,8 +367,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     Rows with a null id are left out; of rows that share an id the one with the largest set counts. Other columns are
     ignored, an empty table gives an empty result. Equal texts form a class and are joined once. Thresholds below 0.75 are refused.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
+    Zones(num, den)  # refuses thresholds that it cannot guarantee
+    scratch = Scratch(docs.sparkSession, "ngram")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     met = scratch.keep(base.mapInArrow(_map_keys(n, num, den), ROWS_DDL).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, ROWS_DDL))
     info = met.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max(F.struct(F.col("b").alias("size"), F.col("c").alias("h1"), F.col("d").alias("h2"))).alias("s")).select("node", "s.*")
