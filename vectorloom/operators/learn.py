@@ -276,7 +276,7 @@ def factory_examples(samples: DataFrame, by: str, order: str, column: str = "v",
     n_of = samples.groupBy(by).agg(F.count("*").alias("n"))
     sizes = n_of.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
     own = Window.partitionBy(by).orderBy(order)
-    rows = samples.select(by, order, F.col(column).alias("anchor"), (F.row_number().over(own) - 1).cast("long").alias("i"), F.lag(column).over(own).alias("_prev"), F.lead(column).over(own).alias("_next")).join(F.broadcast(sizes), by)
+    rows = samples.select(by, order, F.col(column).alias("anchor"), (F.row_number().over(own) - 1).cast("long").alias("i"), F.lag(column).over(own).alias("_prev"), F.lead(column).over(own).alias("_next")).join(sizes, by)
     rows = rows.withColumn("positive", F.coalesce("_prev", "_next", "anchor")).withColumn("place", F.col("before") + F.col("i"))
     others = F.col("total") - F.col("n")
     k = F.explode(F.sequence(F.lit(0), F.least(others, F.lit(max_negatives)) - 1))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vectorloom.errors import DimensionError, ValidationError, positive, positive_int
 from vectorloom.functions import vectors as V
 from vectorloom.operators.blocks import unit_rows
+from vectorloom.operators.search import with_queries
 
 
 def tokens(df, column: str, dim: int):
@@ -30,7 +31,7 @@ def max_sim_rank(queries: DataFrame, docs: DataFrame, dim: int, k: int | None =
     """(q, id, score, rank) of ``docs`` (id, v flat tokens) for the stated ``queries`` (q, v flat tokens)."""
     left = queries.select("q", tokens(queries, "v", dim).alias("_a"))
     right = docs.select("id", tokens(docs, "v", dim).alias("_b"))
-    scores = right.crossJoin(F.broadcast(left)).select("q", "id", max_sim(F.col("_a"), F.col("_b")).alias("score"))
+    scores = with_queries(right, left).select("q", "id", max_sim(F.col("_a"), F.col("_b")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id"))
     out = scores.withColumn("rank", rank.cast("long"))
     return out if k is None else out.where(F.col("rank") <= k)

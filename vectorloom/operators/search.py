@@ -24,12 +24,24 @@ def ranked(scores: DataFrame, k: int | None, by: str = "q", order: tuple[Column,
     return out if k is None else out.where(F.col(rank) <= k)
 
 
+def with_queries(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row of ``corpus`` beside every row of the stated query set ``queries`` (column q), in blocks: the set is
+    counted, and where it is larger than ``QUERY_BLOCK`` its shares by hash are broadcast one after another, so that
+    no broadcast grows with the data."""
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    if blocks <= 1:
+        return corpus.crossJoin(F.broadcast(queries))
+    parts = [corpus.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k))) for k in range(blocks)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
+
+
 def all_scores(queries: DataFrame, corpus: DataFrame, encoding: str = "float") -> DataFrame:
-    """(q, id, score) of every pair of ``queries`` (q, v) and ``corpus`` (id, v) as expressions. ``queries`` is a
-    stated query set; its size is for the caller to bound."""
-    left = queries.select("q", F.col("v").alias("_a"))
-    right = corpus.select("id", F.col("v").alias("_b"))
-    return right.crossJoin(F.broadcast(left)).select("q", "id", V.vector_score(F.col("_a"), F.col("_b"), encoding).alias("score"))
+    """(q, id, score) of every pair of ``queries`` (q, v) and ``corpus`` (id, v) as expressions."""
+    pairs = with_queries(corpus.select("id", F.col("v").alias("_b")), queries.select("q", F.col("v").alias("_a")))
+    return pairs.select("q", "id", V.vector_score(F.col("_a"), F.col("_b"), encoding).alias("score"))
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:

@@ -130,7 +130,7 @@ def slerp(spark, sf_dir):
 @query(f"WITH {E}, {Q} SELECT q, vec_id AS id, round(list_inner_product(a, v) / sqrt(list_inner_product(a, a) * 1.0) / sqrt(list_inner_product(v, v)), 6) + 0.0 AS score, round(list_inner_product(a, v), 6) + 0.0 AS product FROM q, e")
 def cosine_pairs(spark, sf_dir):
     e = emb(spark, sf_dir)
-    pairs = e.crossJoin(F.broadcast(query_set(e).withColumnRenamed("v", "a")))
+    pairs = S.with_queries(e, query_set(e).withColumnRenamed("v", "a"))
     return pairs.select("q", F.col("vec_id").alias("id"), r6(V.cosine_similarity(F.col("a"), F.col("v"))).alias("score"), r6(V.inner_product(F.col("a"), F.col("v"))).alias("product"))
 
 
@@ -138,14 +138,14 @@ def cosine_pairs(spark, sf_dir):
 def reject(spark, sf_dir):
     e = emb(spark, sf_dir)
     c = S.centroids(e, "label").select(F.col("label").alias("other"), F.col("v").alias("u"))
-    rows = e.join(F.broadcast(c), (F.col("label") + 1) % 10 == F.col("other"))
+    rows = e.withColumn("other", (F.col("label") + 1) % 10).join(c, "other")
     return spread(rows.select("vec_id", V.reject(F.col("v"), F.col("u")).alias("v")), "vec_id")
 
 
 @query(f"WITH {E}, {Q} SELECT q, vec_id AS id, CAST(list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a[i] > 0) <> (v[i] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS bits, round(1 - 2 * list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (a[i] > 0) <> (v[i] > 0) THEN 1 ELSE 0 END)) / 64.0, 6) + 0.0 AS score FROM q, e")
 def hamming_pairs(spark, sf_dir):
     e = emb(spark, sf_dir).select("vec_id", V.quantize_binary(F.col("v")).alias("v"))
-    pairs = e.crossJoin(F.broadcast(query_set(e).withColumnRenamed("v", "a")))
+    pairs = S.with_queries(e, query_set(e).withColumnRenamed("v", "a"))
     return pairs.select("q", F.col("vec_id").alias("id"), V.hamming(F.col("a"), F.col("v")).cast("long").alias("bits"), r6(V.vector_score(F.col("a"), F.col("v"), "binary")).alias("score"))
 
 
@@ -155,7 +155,7 @@ _INT8 = "list_transform({v}, lambda x: CAST(greatest(-128, least(127, floor(x *
 @query(f"WITH {E}, k AS (SELECT vec_id, {_INT8.format(v='v')} AS v FROM e), q AS (SELECT vec_id AS q, v AS a FROM k WHERE vec_id % 20 = 0) SELECT q, vec_id AS id, CAST(list_inner_product(a, v) AS BIGINT) AS product, round(list_inner_product(a, v) / sqrt(list_inner_product(a, a) * list_inner_product(v, v)), 6) + 0.0 AS score FROM q, k")
 def int8_dot(spark, sf_dir):
     e = emb(spark, sf_dir).select("vec_id", V.quantize_int8(F.col("v")).alias("v"))
-    pairs = e.crossJoin(F.broadcast(query_set(e).withColumnRenamed("v", "a")))
+    pairs = S.with_queries(e, query_set(e).withColumnRenamed("v", "a"))
     return pairs.select("q", F.col("vec_id").alias("id"), V.int8_dot(F.col("a"), F.col("v")).alias("product"), r6(V.int8_cosine(F.col("a"), F.col("v"))).alias("score"))
 
 
