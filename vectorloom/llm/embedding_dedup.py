@@ -154,3 +154,13 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.95, recall: fl
     out = base.select("id", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def oracle(threshold: float = 0.95) -> str:
+    """DuckDB SQL for the rows of ``embedding_near_dedup`` over ``embeddings``: all pairs and the closure of the links."""
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+k AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_inner_product(v, v) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM k a JOIN k b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= {threshold}),
+r AS (SELECT vec_id, vec_id AS far FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.far)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, min(far) AS component_id, vec_id = min(far) AS kept FROM r GROUP BY vec_id"""

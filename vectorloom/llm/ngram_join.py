@@ -394,3 +394,19 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     joined = ngram_jaccard_join(docs, n, num, den, id_col, text_col)
     first = joined.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col))
     return docs.join(first.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns)
+
+
+def oracle(n: int = 3, num: int = 90, den: int = 100) -> str:
+    """DuckDB SQL for the rows of ``ngram_jaccard_join`` over ``documents``: all pairs that share an n-gram, and the
+    closure of the links."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+c AS (SELECT doc_id, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id FROM s),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING {den} * count(*) >= {num} * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT doc_id, doc_id AS far FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.far)
+SELECT c.doc_id, CAST(len(c.s) AS BIGINT) AS n_shingles, c.class_id, (SELECT count(*) FROM l WHERE l.a = c.doc_id) AS n_links, m.component_id
+FROM c JOIN (SELECT doc_id, min(far) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)"""

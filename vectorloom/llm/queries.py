@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_round_trip": warc.oracle(), "op7_hilbert_shards": hilbert_shards.oracle()}
+    return {"op1_embedding_near_dedup": embedding_dedup.oracle(), "op2_warc_round_trip": warc.oracle(), "op7_hilbert_shards": hilbert_shards.oracle(), "op10_ngram_join": ngram_join.oracle()}
