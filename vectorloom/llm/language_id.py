@@ -80,6 +80,17 @@ def _examples(rows: list[tuple[str, str]], rng: np.random.Generator) -> list[tup
     return out
 
 
+def _shares(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The distinct buckets of each text and the share of each, a few texts at a time."""
+    out = []
+    for lo in range(0, len(texts), 32):
+        buckets, starts = subwords(texts[lo : lo + 32])
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            at, n = np.unique(buckets[a:b], return_counts=True)
+            out.append((at.astype(np.uint16), (n / max(1, b - a)).astype(np.float32)))
+    return out
+
+
 def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, false_rejects: float = 0.001, seed: int = 5) -> Model:
     """Train on (text, lang) rows by mini-batch stochastic gradient descent; a fifth of the rows is held back to set
     the temperature (least log loss) and the rejection threshold: at most ``false_rejects`` of the right answers on
@@ -97,7 +108,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, false_r
     code = {g: i for i, g in enumerate(langs)}
     examples = _examples(seen, rng)
     size = 1 << BUCKET_BITS
-    buckets, starts = subwords([x for x, _ in examples])
+    shares = _shares([x for x, _ in examples])
     target = np.array([code[g] for _, g in examples])
     weight = (len(target) / (len(langs) * np.bincount(target, minlength=len(langs))))[target]  # languages count alike
     embed = rng.normal(0, 0.1, (size, WIDTH))
@@ -111,9 +122,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, false_r
             pick = order[lo : lo + batch]
             mean = np.zeros((len(pick), size), dtype=np.float32)
             for k, i in enumerate(pick):
-                own = buckets[starts[i] : starts[i + 1]]
-                if len(own):
-                    mean[k] = np.bincount(own, minlength=size) / len(own)
+                mean[k, shares[i][0]] = shares[i][1]
             hidden = mean @ embed.astype(np.float32)
             logits = hidden @ head + bias
             logits -= logits.max(axis=1, keepdims=True)
@@ -128,8 +137,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, false_r
             embed[used] -= step * 20 * (mean[:, used].T @ back)
     model = Model(langs, (embed @ head).astype(np.float32), bias, 1.0, 0.0)
     check = _examples(held, rng)
-    buckets, starts = subwords([x for x, _ in check])
-    sums = np.stack([model.table[buckets[a:b]].mean(axis=0) if b > a else np.zeros(len(langs)) for a, b in zip(starts[:-1], starts[1:], strict=True)]) + bias
+    sums = np.stack([share @ model.table[at] for at, share in _shares([x for x, _ in check])]) + bias
     truth = np.array([code[g] for _, g in check])
 
     def loss(temperature: float) -> float:
@@ -138,7 +146,8 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, false_r
         return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(truth)), truth]).mean())
 
     model.temperature = min((0.1 * 1.25**k for k in range(25)), key=loss)
-    right = [s for (_, g), (p, s) in zip(held, model.predict([t for t, _ in held]), strict=True) if p == g]
+    found = [x for lo in range(0, len(held), 32) for x in model.predict([t for t, _ in held[lo : lo + 32]])]
+    right = [s for (_, g), (p, s) in zip(held, found, strict=True) if p == g]
     model.threshold = min(0.5, float(np.quantile(right, false_rejects)) / 2) if right else 0.0
     return model
 
