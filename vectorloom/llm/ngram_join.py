@@ -9,15 +9,16 @@ globally ordered hash space is cut into m = D + 1 + x ranges. Linked sets agree
 those is not empty if at most x of a set's ranges are empty; a set with more empty ranges is cut again with further
 salts until one of them suits, so the guarantee has no exceptions. Sets that agree on a range meet through a hash of
 its content; each map batch ships one row a hash, so that copies and hot contents stay few. The candidate graph's
-connected components become blocks; a component with more than ``CHUNK`` distinct sets is cut into chunks and every
-pair of chunks is a block of its own, so that no task holds an unbounded group.
+connected components, cut by size into their zones, become blocks; a block with more than ``CHUNK`` distinct sets is
+cut into chunks and every pair of chunks is a block of its own, so that no task holds an unbounded group. A pair
+counts in the zone of its smaller set only.
 
 Join. Inside a block the ordered sets form a trie (shared elements first). It is traversed once for all queries of
 the block: the overlap of a path prefix is counted once for every document below it, and a query leaves a subtree as
 soon as its overlap plus the smaller of what remains of the query and of the longest path below cannot reach the
 required overlap, or when no size in the subtree can match.
 
-Hashes are 64-bit; equal hashes count as equal n-grams.
+Hashes are 64-bit, of which a block compares 48 bits; equal hashes count as equal n-grams.
 """
 
 from __future__ import annotations
@@ -51,6 +52,12 @@ class Zones:
     def _grow(self) -> None:
         self.starts.append(max(self.starts[-1] + 1, (self.starts[-1] - 1) * self.den // self.num + 1))
 
+    def all_starts(self) -> list[int]:
+        """First sizes of all classes up to 2^40."""
+        while self.starts[-1] < 1 << 40:
+            self._grow()
+        return self.starts
+
     def cut(self, zone: int) -> tuple[int, int]:
         while len(self.cuts) <= zone:
             k = len(self.cuts)
@@ -213,8 +220,20 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(2, pa.array(src), pa.array(src), pa.array(dst))
 
 
-SETS = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("elements", pa.binary())])
-SETS_DDL = "cluster long, node long, copies long, chunk int, chunks int, elements binary"
+SPOTS = pa.list_(pa.struct([("zone", pa.int32()), ("low", pa.bool_()), ("chunk", pa.int32()), ("chunks", pa.int32())]))
+SETS = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("spots", SPOTS), ("elements", pa.binary())])
+SETS_DDL = "cluster long, node long, copies long, spots array<struct<zone:int,low:boolean,chunk:int,chunks:int>>, elements binary"
+
+
+def pack(hashes: np.ndarray) -> bytes:
+    """The low 48 bits of each hash; a block compares sets by these (a chance match of two sets of a thousand: 4e-9)."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def _map_sets(n: int):
@@ -223,14 +242,14 @@ def _map_sets(n: int):
             for start, stop in text_slices(batch, "text"):
                 part = batch.slice(start, stop - start)
                 sets = shingle_sets(part.column("text").to_pylist(), n)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "node", "copies", "chunk", "chunks")), pa.array([s.tobytes() for s in sets], type=pa.binary())], schema=SETS)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "node", "copies", "spots")), pa.array([pack(s) for s in sets], type=pa.binary())], names=SETS.names)
 
     return run
 
 
-def trie_join(sets: list[np.ndarray], zones: Zones, left: np.ndarray | None = None, budget: int = 24_000_000) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(sets: list[np.ndarray], zones: Zones, left: np.ndarray | None = None, low: np.ndarray | None = None, budget: int = 24_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) of ``sets`` that reach the threshold; with ``left`` (booleans), only pairs of one left and
-    one other set. Empty sets match nothing."""
+    one other set; with ``low``, only pairs that hold a low set. Empty sets match nothing."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     found_q: list[np.ndarray] = []
     found_s: list[np.ndarray] = []
@@ -261,7 +280,8 @@ def trie_join(sets: list[np.ndarray], zones: Zones, left: np.ndarray | None = No
         differ = np.flatnonzero(a[:w] != b[:w])
         lcp[k] = differ[0] if len(differ) else w
     doc_at, doc_size, doc_len = np.array(docs), sizes[docs], lengths[docs]
-    queries = np.array(docs, dtype=np.int64) if left is None else np.array([i for i in docs if left[i]], dtype=np.int64)
+    low = np.ones(len(sets), dtype=bool) if low is None else low
+    queries = np.array([i for i in docs if (low[i] if left is None else left[i])], dtype=np.int64)
     width = max(16, budget // shared)
     for lo in range(0, len(queries), width):
         q = queries[lo : lo + width]
@@ -296,10 +316,10 @@ def trie_join(sets: list[np.ndarray], zones: Zones, left: np.ndarray | None = No
                 i, s = docs[k], doc_size[k]
                 hit = overlap >= zones.needed(q_size[active], s)
                 other = q[active[hit]]
-                if left is None:
+                if left is not None:
+                    other = other[:0] if left[i] else other[low[other] | low[i]]
+                elif low[i]:
                     other = other[other < i]
-                elif left[i]:
-                    other = other[:0]
                 if len(other):
                     found_q.append(other)
                     found_s.append(np.full(len(other), i, dtype=np.int64))
@@ -326,9 +346,9 @@ def _join_blocks(num: int, den: int):
         def block(i: int, j: int, rows: list[tuple]) -> pa.RecordBatch | None:
             nodes = np.array([r[0] for r in rows], dtype=np.int64)
             copies = np.array([r[1] for r in rows], dtype=np.int64)
-            sets = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+            sets = [unpack(r[3]) for r in rows]
             left = None if i == j else np.array([r[2] == i for r in rows])
-            x, y = trie_join(sets, zones, left)
+            x, y = trie_join(sets, zones, left, np.array([r[4] for r in rows]))
             if not len(x):
                 return None
             links = np.zeros(len(nodes), dtype=np.int64)
@@ -341,18 +361,18 @@ def _join_blocks(num: int, den: int):
 
         key, rows = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "copies", "chunk", "elements")]
-            for cluster, i, j, node, copies, chunk, elements in zip(*cols, strict=True):
-                if (cluster, i, j) != key:
-                    if key and (out := block(key[1], key[2], rows)):
+            cols = [batch.column(c).to_pylist() for c in ("cluster", "zone", "i", "j", "node", "copies", "chunk", "low", "elements")]
+            for cluster, zone, i, j, node, copies, chunk, low, elements in zip(*cols, strict=True):
+                if (cluster, zone, i, j) != key:
+                    if key and (out := block(key[2], key[3], rows)):
                         yield out
-                    key, rows = (cluster, i, j), []
+                    key, rows = (cluster, zone, i, j), []
                 if rows and rows[-1][0] == node:  # rows that share an id
                     if len(elements) > len(rows[-1][3]):
-                        rows[-1] = (node, copies, chunk, elements)
+                        rows[-1] = (node, copies, chunk, elements, low)
                     continue
-                rows.append((node, copies, chunk, elements))
-        if key and (out := block(key[1], key[2], rows)):
+                rows.append((node, copies, chunk, elements, low))
+        if key and (out := block(key[2], key[3], rows)):
             yield out
 
     return run
@@ -374,13 +394,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     info = met.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max(F.struct(F.col("b").alias("size"), F.col("c").alias("h1"), F.col("d").alias("h2"))).alias("s")).select("node", "s.*")
     near = scratch.keep(connected_components(met.where("kind = 2").select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).join(info, "node").select("node", F.col("component").alias("cluster"), "size", "h1", "h2"))
     classes = scratch.keep(near.groupBy("cluster", "size", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
-    wide = classes.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("size").alias("elements")).where("sets > 1")
-    wide = wide.select("cluster", F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("elements") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
-    members = classes.join(wide, "cluster").select(F.col("rep").alias("node"), "cluster", "copies", "chunks", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"))
-    texts = base.join(members.hint("shuffle_hash"), base.id == members.node).select("cluster", "node", "copies", "chunk", "chunks", "text")
-    sets = texts.mapInArrow(_map_sets(n), SETS_DDL)
-    blocks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "copies", "chunk", "elements")
-    links = scratch.keep(blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(_join_blocks(num, den), "kind byte, a long, b long"))
+    starts = F.array(*(F.lit(s) for s in Zones(num, den).all_starts()))
+    klass = F.size(F.filter(starts, lambda s: s <= F.col("size"))) - 1
+    own = F.struct(F.col("klass").alias("zone"), F.lit(True).alias("low"))
+    upper = F.struct((F.col("klass") - 1).alias("zone"), F.lit(False).alias("low"))
+    placed = classes.withColumn("klass", klass).select("cluster", "rep", "copies", "size", F.explode(F.array(own, upper)).alias("p")).select("cluster", "rep", "copies", "size", "p.zone", "p.low").where("zone >= 0")
+    groups = placed.groupBy("cluster", "zone").agg(F.count("*").alias("sets"), F.sum("size").alias("elements"), F.max("low").alias("any_low")).where("sets > 1 and any_low")
+    groups = groups.select("cluster", "zone", F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("elements") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
+    spot = F.struct("zone", "low", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
+    members = placed.join(groups, ["cluster", "zone"]).groupBy("cluster", F.col("rep").alias("node"), "copies").agg(F.collect_list(spot).alias("spots"))  # two at most
+    texts = base.join(members.hint("shuffle_hash"), base.id == members.node).select("cluster", "node", "copies", "spots", "text")
+    sets = texts.mapInArrow(_map_sets(n), SETS_DDL).select("cluster", "node", "copies", F.explode("spots").alias("s"), "elements").select("cluster", "node", "copies", "s.*", "elements")
+    blocks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", "zone", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "copies", "chunk", "low", "elements")
+    links = scratch.keep(blocks.repartition("cluster", "zone", "i", "j").sortWithinPartitions("cluster", "zone", "i", "j", "node").mapInArrow(_join_blocks(num, den), "kind byte, a long, b long"))
     comps = connected_components(links.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
     counts = links.where("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     by_class = classes.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "size", "h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
