@@ -215,11 +215,13 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.unionAll(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(least, "src").select(F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("e"))
+        # written, so that the join deals both sides anew and AQE can split a hub's edges
+        least = scratch.keep(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")))
+        large = both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+        low = large.groupBy("src").agg(F.min("dst").alias("m"))
+        small = large.join(low, "src").select(F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("m").alias("dst")), F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("e"))
         after = scratch.keep(small.select("e.*").where("src <> dst").distinct())
+        scratch.drop(least)
         scratch.drop(now)
         now, before, seen = after, seen, mark(after)
         if seen == before:

@@ -72,6 +72,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     rows = scratch.keep(rows.withColumn("z", F.expr("least(15, length(bin(size)) - 4)")))
     group = rows.groupBy("content", "size", "crc").agg(F.min(F.struct("id", "x", "y", "z")).alias("first"))
     group = group.select("content", "size", "crc", F.col("first.id").alias("first"), F.expr(curve_index("first.x", "first.y", "first.z")).cast("long").alias("curve"))
+    # written, so that the join deals both sides anew and AQE can split a large group of copies
+    group = scratch.keep(group)
     key = ["curve", "first", "id"]
     ordered = rows.select("id", "size", "crc", "content").join(group, ["content", "size", "crc"]).select(*key, "size", "crc")
     ordered = scratch.keep(ordered.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", F.monotonically_increasing_id()))
