@@ -50,3 +50,20 @@ def test_edges(spark):
 def test_bands_follow_from_the_guarantee():
     b = L.plan_bands(0.3, 1, 0.9999)
     assert (1 - 0.3) ** b <= 1e-4 < (1 - 0.3) ** (b - 1)
+
+
+def test_statements_side_by_side():
+    """Statements that follow one another, alike or the same, at every offset from the windows' grid."""
+    scanner = L.Scanner(L.TEMPLATES, 0.85, 0.9999, 17)
+    short = {n: t for n, t in L.TEMPLATES if 4 <= len(t.split()) <= 6 and t.startswith("Licensed")}
+    for one in short:
+        for two in short:
+            for shift in range(9):
+                noise = [f"n{k}" for k in range(shift)]
+                a, b = short[one].split(), short[two].split()
+                got = scanner.find([" ".join([*noise, *a, *b, "end"])])
+                ends = shift + len(a)
+                assert sorted((scanner.names[g[1]], g[2], g[3]) for g in got) == sorted([(one, shift, ends - 1), (two, ends, ends + len(b) - 1)])
+    mit = next(t for n, t in L.TEMPLATES if n == "MIT" and len(t) > 100)
+    size = len(mit.split())
+    assert sorted((g[2], g[3]) for g in scanner.find([" ".join([mit] * 3)])) == [(k * size, (k + 1) * size - 1) for k in range(3)]

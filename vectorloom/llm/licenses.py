@@ -53,6 +53,10 @@ class Scanner:
         self.containment = containment
         self.names = [n for n, _ in templates]
         self.words = [word_hashes([t], DROP)[0] for _, t in templates]
+        self.masks: list[dict[int, int]] = [{} for _ in templates]
+        for masks, words in zip(self.masks, self.words, strict=True):
+            for i, w in enumerate(words.tolist()):
+                masks[w] = masks.get(w, 0) | 1 << i
         self.sets = [set(self.shingles(w).tolist()) for w in self.words]
         self.sizes = sorted({self.window(len(w)) for w in self.words})
         self.bands = plan_bands(0.375 * containment / (1 + 0.75 * (1 - containment)), 1, guarantee)
@@ -130,10 +134,11 @@ class Scanner:
         for t, lo, hi in hits:
             doc = int(np.searchsorted(ends, lo, side="right"))
             while doc < len(texts) and bounds[doc] < hi:  # a window may touch several short texts
-                if got := self.verify(t, flat[max(lo, bounds[doc]) : min(hi, bounds[doc + 1])]):
-                    found.append((doc, t, max(lo, bounds[doc]) - bounds[doc] + got[0], max(lo, bounds[doc]) - bounds[doc] + got[1], got[2]))
+                first = max(lo, bounds[doc])
+                for got in self.verify(t, flat[first : min(hi, bounds[doc + 1])]):
+                    found.append((doc, t, int(first - bounds[doc] + got[0]), int(first - bounds[doc] + got[1]), *got[2:]))
                 doc += 1
-        found = sorted(set(found), key=lambda f: (f[0], -f[4], -len(self.words[f[1]]), f[2], f[1]))
+        found = sorted(set(found), key=lambda f: (f[0], -f[5], -f[4], -len(self.words[f[1]]), f[2], f[3], f[1]))
         out: list[tuple[int, int, int, int, float]] = []
         taken: dict[int, list[tuple[int, int]]] = {}
         for f in found:
@@ -143,15 +148,39 @@ class Scanner:
                 out.append((int(f[0]), f[1], int(f[2]), int(f[3]), f[4]))
         return out
 
-    def verify(self, template: int, words: np.ndarray) -> tuple[int, int, float] | None:
-        """(first, last, containment) if the stretch holds enough of the template's shingles."""
+    def verify(self, template: int, words: np.ndarray) -> list[tuple[int, int, float, float]]:
+        """(first, last, containment, share of the template's words in order) of disjoint stretches that hold enough of
+        the template's shingles: the stretch that resembles the template most in order, then those before and behind."""
         own = self.sets[template]
-        places = [i for i, h in enumerate(self.shingles(words).tolist()) if h in own]
-        if not places:
-            return None
-        held = {int(h) for h in self.shingles(words)[places]}
-        share = len(held) / len(own)
-        return (places[0], places[-1] + SHINGLE - 1, share) if share >= self.containment else None
+        shingles = self.shingles(words).tolist()
+        return self._stretches(template, words.tolist(), shingles, [i for i, h in enumerate(shingles) if h in own])
+
+    def _stretches(self, template: int, words: list[int], shingles: list[int], places: list[int]) -> list[tuple[int, int, float, float]]:
+        size, length = len(self.sets[template]), len(self.words[template])
+        if len({shingles[i] for i in places}) < self.containment * size:
+            return []
+        masks, ones = self.masks[template], (1 << length) - 1
+        best = (-1.0, 0, 0, 0.0, 0.0)
+        for k, first in enumerate(places):
+            held: set[int] = set()
+            v, at = ones, first  # common subsequence of words[first:at] by bit-parallel dynamic programming
+            for last in places[k:]:
+                for word in words[at : last + SHINGLE]:
+                    if m := masks.get(word):
+                        v = ((v + (v & m)) | (v & ~m)) & ones
+                at = last + SHINGLE
+                held.add(shingles[last])
+                if len(held) >= self.containment * size:
+                    common = length - v.bit_count()
+                    score = common / (length + at - first - common)
+                    if score > best[0]:
+                        best = (score, first, at - 1, len(held) / size, common / length)
+        _, first, last, share, ordered = best
+        if not share:
+            return []
+        before = self._stretches(template, words, shingles, [i for i in places if i + SHINGLE <= first])
+        behind = self._stretches(template, words, shingles, [i for i in places if i > last])
+        return [*before, (first, last, share, ordered), *behind]
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, containment: float = 0.85, guarantee: float = 0.9999, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +188,9 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None
     last_word long, containment double), one row for each place.
 
     Words are compared without case (A-Z) and without ASCII punctuation but the hyphen. A place holds at least
-    ``containment`` of the template's two-word shingles; of places that overlap the best stays. Templates of fewer than
+    ``containment`` of the template's two-word shingles and is the stretch of its window that resembles the template
+    most, so that statements side by side are places each; of places that overlap the one stays that holds the largest share
+    of its template's words in order. Templates of fewer than
     two words are refused. Windows meet templates with probability ``guarantee`` or more. One pass, no shuffle. Null, empty and
     blank texts hold nothing; repeated rows give repeated rows; an empty table or no templates give an empty result;
     other columns are ignored.
