@@ -48,7 +48,7 @@ def corpus(seed, n=160):
     return docs
 
 
-@pytest.mark.parametrize(("n", "num", "den", "chunk"), [(3, 90, 100, 1000), (5, 80, 100, 1000), (1, 75, 100, 8), (3, 90, 100, 4)])
+@pytest.mark.parametrize(("n", "num", "den", "chunk"), [(3, 90, 100, 1000), (5, 80, 100, 1000), (1, 75, 100, 8), (2, 50, 100, 5), (3, 90, 100, 4)])
 def test_matches_brute_force(spark, monkeypatch, n, num, den, chunk):
     monkeypatch.setattr(N, "CHUNK", chunk)
     docs = corpus(n * 100 + chunk)
@@ -59,7 +59,7 @@ def test_matches_brute_force(spark, monkeypatch, n, num, den, chunk):
 
 def test_trie_against_pairs():
     rng = np.random.default_rng(13)
-    zones = N.Zones(80, 100)
+    limit = N.Threshold(80, 100)
     for _ in range(30):
         base = rng.choice(500, 60, replace=False)
         sets = []
@@ -69,27 +69,40 @@ def test_trie_against_pairs():
         left = rng.random(25) < 0.5
         for sides in (None, left):
             want = {(i, j) for i in range(25) for j in range(i + 1, 25) if len(sets[i]) and len(sets[j]) and (sides is None or sides[i] != sides[j]) and 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)}
-            x, y = N.trie_join(sets, zones, sides, budget=2000)
+            x, y = N.trie_join(sets, limit, sides, budget=2000)
             assert len(x) == len(want) and set(zip(x.tolist(), y.tolist(), strict=True)) == want
 
 
-def test_linked_sets_always_share_a_range():
-    rng = np.random.default_rng(14)
-    for num in (80, 90):
-        zones = N.Zones(num, 100)
-        for _ in range(300):
-            size = int(rng.integers(1, 400))
-            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
-            most = len(a) * (100 - num) // num
-            b = a.copy()
-            for _ in range(int(rng.integers(0, most + 1))):  # drop or add
-                if rng.random() < 0.5 and len(b) > 1:
-                    b = np.delete(b, rng.integers(len(b)))
-                else:
-                    b = np.unique(np.append(b, rng.integers(0, 1 << 63, dtype=np.uint64)))
-            k = len(np.intersect1d(a, b))
-            if 100 * k >= num * (len(a) + len(b) - k):
-                assert len(np.intersect1d(N.range_keys(a, zones), N.range_keys(b, zones)))
+@pytest.mark.parametrize("num", [60, 80, 90, 100])
+def test_linked_sets_share_a_prefix_element(num):
+    rng = np.random.default_rng(num)
+    limit = N.Threshold(num, 100)
+    for _ in range(300):
+        a = rng.permutation(2000)[: int(rng.integers(1, 200))]
+        b = np.setdiff1d(a, rng.choice(a, int(rng.integers(0, len(a) * (100 - num) // 100 + 1)), replace=False))
+        b = np.union1d(b, rng.integers(2000, 2400, int(rng.integers(0, 3))))
+        k = len(np.intersect1d(a, b))
+        if k and 100 * k >= num * (len(a) + len(b) - k):
+            assert k >= limit.needed(len(a), len(b))
+            assert np.intersect1d(np.sort(a)[: limit.prefix(len(a))], np.sort(b)[: limit.prefix(len(b))]).size
+
+
+def test_one_large_group_and_a_common_passage(spark, monkeypatch):
+    """A giant candidate group in many chunks, beside documents that share one frequent passage."""
+    monkeypatch.setattr(N, "CHUNK", 7)
+    rng = random.Random(5)
+    base, passage = [f"b{k}" for k in range(90)], [f"p{k}" for k in range(40)]
+    docs = []
+    for i in range(120):
+        text = list(base)
+        text[rng.randrange(90)] = f"x{rng.randrange(12)}"
+        docs.append((i, " ".join(text)))
+    for i in range(120, 260):
+        docs.append((i, " ".join(passage + [f"y{rng.randrange(40)}" for _ in range(rng.randint(0, 25))])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    for n, num in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in N.ngram_jaccard_join(df, n, num, 100).collect()}
+        assert got == brute(docs, n, num, 100)
 
 
 def test_edges(spark):
@@ -99,6 +112,6 @@ def test_edges(spark):
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (2, 7), 8: (3, 8), 9: (1, 9)}
     assert N.ngram_jaccard_join(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        N.ngram_jaccard_join(df, 3, 1, 2)
+        N.ngram_jaccard_join(df, 3, 3, 2)
     kept = N.keep_one(df, 3, 90, 100)
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 4, 6, 7, 8, 9] and kept.columns == df.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda i: i or 0) == [None, 1, 2, 3, 4, 4, 6, 7, 8, 9] and kept.columns == df.columns

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor see.
 
     The cluster names it in ``spark.checkpoint.dir``; a folder of our own is set only where that is empty,
-    which is the case in single-JVM tests.
+    which is the case in single-JVM tests; on a cluster an unset folder is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="vectorloom-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -169,7 +171,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> I
         start = stop
 
 
-def local_forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def local_forest(pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Union-find over pairs of ids: (id, smallest id reachable) for every id that is not its own root."""
     parent: dict[int, int] = {}
 
@@ -193,9 +195,22 @@ def local_forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nda
 EDGES = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
+#: Edges that a task contracts at once; its memory does not grow with the partition.
+FOREST = 1 << 19
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    src, dst = local_forest((b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches)
-    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], schema=EDGES)
+    def forest(held: list) -> pa.RecordBatch:
+        src, dst = local_forest(held)
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], schema=EDGES)
+
+    held: list = []
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(a) for a, _ in held) >= FOREST:
+            yield forest(held)
+            held = []
+    yield forest(held)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:

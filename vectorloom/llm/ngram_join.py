@@ -1,88 +1,74 @@
 """Operator 10: exact n-gram Jaccard self-join over a prefix tree.
 
-A document is its set of distinct word n-grams, hashed to 64 bits and held in ascending (global) order. The join
-has two parts.
-
-Distribution. Two sets of sizes r <= s with Jaccard >= t differ in at most D = floor(r (1-t)/t) elements. Sizes are
-cut into classes so that linked sets lie in the same or in adjacent classes; each such zone has its own D. The
-globally ordered hash space is cut into m = D + 1 + x ranges. Linked sets agree on at least 1 + x ranges, and one of
-those is not empty if at most x of a set's ranges are empty; a set with more empty ranges is cut again with further
-salts until one of them suits, so the guarantee has no exceptions. Sets that agree on a range meet through a hash of
-its content; each map batch ships one row a hash, so that copies and hot contents stay few. The candidate graph's
-connected components, cut by size into their zones, become blocks; a block with more than ``CHUNK`` distinct sets is
-cut into chunks and every pair of chunks is a block of its own, so that no task holds an unbounded group. A pair
-counts in the zone of its smaller set only.
-
-Join. Inside a block the ordered sets form a trie (shared elements first). It is traversed once for all queries of
-the block: the overlap of a path prefix is counted once for every document below it, and a query leaves a subtree as
-soon as its overlap plus the smaller of what remains of the query and of the longest path below cannot reach the
-required overlap, or when no size in the subtree can match.
-
-Hashes are 64-bit, of which a block compares 48 bits; equal hashes count as equal n-grams.
+A document is its set of distinct word n-grams, hashed to 64 bits. One global order holds for all sets: n-grams that few
+documents share come first (by class of document frequency, then by hash). The join has three parts, none of which
+loses a link.
+
+Sieve. Sets linked at num/den share at least ceil(size * num / den) n-grams with each other, so a set with more
+n-grams of its own than the rest, found in no other set, links with nothing. A share of the hash space (``SLACK`` times
+1 - num/den) suffices to show that for most documents: its n-grams are dealt by hash, those that meet no other set are
+counted, and documents with too many of them are done. Equal sets go on as one class.
+
+Order. All n-grams of the remaining classes are counted over those classes; n-grams of a single class cannot overlap
+and leave the sets, but count in their sizes. The first size - ceil(size * num / den) + 1 n-grams in the global order
+are a set's prefix; linked sets share one of them. Classes that share prefix n-grams form candidate components. A
+component of up to ``CHUNK`` sets is one block. A larger one is cut by size and hash into chunks, and a set goes to the
+block of its chunk with another only if it shares a prefix n-gram with a set of that chunk, so what is sent grows with
+the candidates and not with the component; sets with rare n-grams only never meet through frequent ones.
+
+Join. Inside a block the ordered sets form a trie (the frequent end of the global order first, where paths are shared).
+It is traversed once for all queries of the block: the overlap of a path prefix is counted once for every document below
+it, and a query leaves a subtree as soon as its overlap plus the smaller of what remains of the query and of the longest
+path below cannot reach the required overlap, or when no size in the subtree can match.
+
+Equal 64-bit hashes count as equal n-grams.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm.common import Scratch, connected_components, local_forest, mix, mix_int, text_slices, word_hashes
 
 #: Distinct sets and elements in one chunk of a large candidate component.
-CHUNK, CHUNK_ELEMENTS = 1000, 600_000
-ROWS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64())])
-ROWS_DDL = "kind byte, key long, a long, b long, c long, d long"
+CHUNK, CHUNK_ELEMENTS = 140, 400_000
+#: Share of the hash space that the sieve reads, over the share of a set that may differ.
+SLACK = 1.6
 
 
-class Zones:
-    """Size classes and the number of ranges of each zone, for a threshold num/den."""
+class Threshold:
+    """Exact integer forms of Jaccard >= num/den."""
 
     def __init__(self, num: int, den: int):
-        if not 0.75 <= num / den <= 1:
-            raise ValueError("the threshold must lie between 0.75 and 1")
+        if not 0 < num <= den:
+            raise ValueError("the threshold must lie above 0 and not above 1")
         self.num, self.den = num, den
-        self.starts = [1, 2]  # first size of each class
-        self.cuts: list[tuple[int, int]] = []  # (ranges, empty ranges allowed) of each zone
-
-    def _grow(self) -> None:
-        self.starts.append(max(self.starts[-1] + 1, (self.starts[-1] - 1) * self.den // self.num + 1))
-
-    def all_starts(self) -> list[int]:
-        """First sizes of all classes up to 2^40."""
-        while self.starts[-1] < 1 << 40:
-            self._grow()
-        return self.starts
-
-    def cut(self, zone: int) -> tuple[int, int]:
-        while len(self.cuts) <= zone:
-            k = len(self.cuts)
-            while len(self.starts) <= k + 1:
-                self._grow()
-            least, differ = self.starts[k], (self.starts[k + 1] - 1) * (self.den - self.num) // self.num
-            m = differ + 1
-            for _ in range(50):
-                empty = m * math.exp(-least / m) if m > 1 else 0.0
-                x = math.ceil(empty + 2 * math.sqrt(empty)) if empty > 1e-3 else 0
-                if differ + 1 + x == m:
-                    break
-                m = differ + 1 + x
-            self.cuts.append((m, m - differ - 1))
-        return self.cuts[zone]
-
-    def of(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self._grow()
-        return int(np.searchsorted(self.starts, size, side="right")) - 1
 
     def needed(self, a, b):
         """The least overlap of linked sets of sizes a and b."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
+    def prefix(self, size):
+        """How many elements of a set's global order are sure to hold one of every linked set's."""
+        return size + self.num * size // -self.den + 1
+
+    def size_classes(self) -> list[int]:
+        """First sizes of classes up to 2^40, so that linked sets lie in the same or in adjacent ones."""
+        starts = [1]
+        while starts[-1] < 1 << 40:
+            starts.append(max(starts[-1] + 1, starts[-1] * self.den // self.num + 1))
+        return starts
+
+    def sieve_end(self) -> int:
+        """The sieve reads hashes below this."""
+        return min((1 << 64) - 1, int(SLACK * (1 + 1 / 32) * (self.den - self.num) / self.den * (1 << 64)) + (1 << 59))
+
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """Ascending distinct 64-bit hashes of the word n-grams of each text.
@@ -112,164 +98,182 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def range_keys(hashes: np.ndarray, zones: Zones) -> np.ndarray:
-    """Hashes of the contents of the set's ranges, in both of its zones (uint64)."""
-    own, out = zones.of(len(hashes)), []
-    content = mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    with np.errstate(over="ignore"):
-        for zone in (own, own - 1) if own else (own,):
-            m, allowed = zones.cut(zone)
-            salt = 0
-            while True:
-                if salt:
-                    moved = mix(hashes + np.uint64(salt))
-                    order = np.argsort(moved)
-                    place, content_here = moved[order], content[order]
-                else:
-                    place, content_here = hashes, content
-                part = ((place >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                sums = np.add.reduceat(content_here, first)
-                out.append(mix(sums + mix(part[first] + np.uint64(mix_int(zone * 1000 + salt)))))
-                if m - len(first) <= allowed:
-                    break
-                salt += 1
-    return np.concatenate(out)
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _rows(kind, key, a, b=None, c=None, d=None) -> pa.RecordBatch:
-    n = len(key)
-    zero = pa.array(np.zeros(n, dtype=np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, dtype=np.int8)), key, a, b or zero, c or zero, d or zero], schema=ROWS)
+def _marks(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit marks of each set; equal sets have equal marks."""
+    with np.errstate(over="ignore"):
+        return tuple(np.array([mix(s if k == 0 else ~s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64) for k in (0, 1))
+
+
+#: info is null for an n-gram of one set of the slice, empty for one of several, else size, marks, and n-grams read and shared.
+SIEVE = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("info", pa.binary())])
+SIEVE_DDL = "key long, node long, info binary"
+SEEN_DDL = "node long, shared long, size long, h1 long, h2 long, seen long"
+SEEN = pa.schema([(name, pa.int64()) for name in ("node", "shared", "size", "h1", "h2", "seen")])
 
 
-def _map_keys(n: int, num: int, den: int):
+def _map_sieve(n: int, end: int):
+    """The n-grams of each distinct set of a slice below ``end``, and a row of facts for each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zones = Zones(num, den)
         for batch in batches:
             for start, stop in text_slices(batch, "text"):
                 ids = batch.column(0).slice(start, stop - start).to_numpy()
                 sets = shingle_sets(batch.column(1).slice(start, stop - start).to_pylist(), n)
-                sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                with np.errstate(over="ignore"):
-                    h1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                    h2 = np.array([mix(~s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                yield _rows(1, _signed(mix(ids.view(np.uint64))), pa.array(ids), pa.array(sizes), _signed(h1), _signed(h2))
-                kept = [i for i in range(len(sets)) if sizes[i]]
-                if not kept:
-                    continue
-                # equal sets of the slice go on once
-                first: dict[tuple, int] = {}
-                same: list[tuple[int, int]] = []
-                for i in kept:
-                    j = first.setdefault((sizes[i], h1[i], h2[i]), i)
-                    if j != i:
-                        same.append((i, j))
-                keys = {i: range_keys(sets[i], zones) for i in first.values()}
-                flat = np.concatenate(list(keys.values()))
-                node = np.repeat(ids[list(keys)], [len(k) for k in keys.values()])
+                h1, h2 = _marks(sets)
+                facts = np.zeros((len(sets), 5), dtype=np.int64)
+                facts[:, 0] = [len(s) for s in sets]
+                facts[:, 1], facts[:, 2] = h1.view(np.int64), h2.view(np.int64)
+                # equal sets of the slice go on once; -1 read n-grams tell that nothing was counted for the others
+                first = {key: i for i, key in reversed(list(enumerate(zip(facts[:, 0].tolist(), h1.tolist(), h2.tolist(), strict=True))))}
+                lead = np.array(sorted(first.values()), dtype=np.int64)
+                read = [sets[i][: np.searchsorted(sets[i], np.uint64(end))] for i in lead]
+                facts[:, 4] = -1
+                facts[lead, 4] = [len(r) for r in read]
+                flat = np.concatenate(read) if read else np.empty(0, dtype=np.uint64)
+                owner = np.repeat(np.arange(len(lead)), facts[lead, 4])
                 order = np.argsort(flat, kind="stable")
-                flat, node = flat[order], node[order]
-                at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-                leader = np.repeat(node[at], np.diff(np.append(at, len(flat))))
-                meet = node != leader
-                a = np.concatenate([node[meet], ids[[i for i, _ in same]]]) if same else node[meet]
-                b = np.concatenate([leader[meet], ids[[j for _, j in same]]]) if same else leader[meet]
-                if len(a):
-                    src, dst = local_forest([(a, b)])
-                    yield _rows(2, _signed(mix(src.view(np.uint64))), pa.array(src), pa.array(dst))
-                yield _rows(0, _signed(flat[at]), pa.array(node[at]))
+                flat, owner = flat[order], owner[order]
+                at = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, dtype=np.int64)
+                runs = np.diff(np.append(at, len(flat)))
+                facts[lead, 3] = np.bincount(owner[np.repeat(runs > 1, runs)], minlength=len(lead))
+                key = np.concatenate([flat[at], mix(ids.view(np.uint64))])
+                node = np.concatenate([ids[lead][owner[at]] if len(at) else np.empty(0, dtype=np.int64), ids])
+                info = [None] * len(at)
+                for k in np.flatnonzero(runs > 1).tolist():
+                    info[k] = b""
+                info += [f.tobytes() for f in facts]
+                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(node), pa.array(info, type=pa.binary())], schema=SIEVE)
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: documents that share a key are joined to the first of them; other rows pass."""
-    info = []
+    """Rows sorted by key: for each document how many of its n-grams other sets hold too; facts pass."""
+
+    def counted(nodes: np.ndarray) -> pa.RecordBatch:
+        own, many = np.unique(nodes, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(many), *(pa.nulls(len(own), pa.int64()) for _ in range(4))], schema=SEEN)
+
+    last_key, last_node, last_many = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
+    waiting: list[np.ndarray] = []
+    for batch in batches:
+        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        kind = pc.fill_null(pc.binary_length(batch.column(2)), -1).to_numpy(zero_copy_only=False)
+        if (told := kind > 0).any():
+            facts = np.frombuffer(b"".join(batch.column(2).filter(pa.array(told)).to_pylist()), dtype=np.int64).reshape(-1, 5)
+            size, h1, h2, shared, seen = (np.ascontiguousarray(facts[:, k]) for k in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[told], shared, size, h1, h2, seen)], schema=SEEN)
+            key, node, kind = key[~told], node[~told], kind[~told]
+        if not len(key):
+            continue
+        many = np.concatenate([last_many, kind == 0])  # such a row stands for several sets that are counted already
+        key, node = np.concatenate([last_key, key]), np.concatenate([last_node, node])
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        runs = np.diff(np.append(at, len(key)))
+        met = (runs > 1) | (np.add.reduceat(many, at, dtype=np.int64) > 0)
+        waiting.append(node[np.repeat(met, runs) & ~many])
+        # the last run may go on in the next batch; if it has met, its own rows are counted here
+        last_key, last_node, last_many = key[-1:], node[-1:], met[-1:].copy()
+        if sum(map(len, waiting)) > 1 << 20:
+            yield counted(np.concatenate(waiting))
+            waiting = []
+    if waiting:
+        yield counted(np.concatenate(waiting))
+
+
+POSTINGS = pa.schema([("h", pa.int64()), ("rep", pa.int64())])
+
+
+def _map_postings(n: int):
+    """All n-grams of the remaining classes; a row whose set is not the class's (a repeated id) gives none."""
 
-    def edges():
-        last_key, last_node = None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, key, node = (batch.column(i).to_numpy() for i in range(3))
-            if (other := kind != 0).any():
-                own = batch.filter(pa.array(kind == 1))
-                if own.num_rows:
-                    info.append(own)
-                two = kind == 2
-                if two.any():
-                    yield node[two], batch.column(3).to_numpy()[two]
-                key, node = key[~other], node[~other]
-            if not len(key):
-                continue
-            if last_key is not None:
-                key, node = np.append(last_key, key), np.append(last_node, node)
-            at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            leader = np.repeat(node[at], np.diff(np.append(at, len(key))))
-            last_key, last_node = key[-1], leader[-1]
-            meet = node != leader
-            if meet.any():
-                pairs = np.unique(np.stack([node[meet], leader[meet]], axis=1), axis=0)
-                yield pairs[:, 0], pairs[:, 1]
-
-    src, dst = local_forest(edges())
-    yield from info
-    yield _rows(2, pa.array(src), pa.array(src), pa.array(dst))
-
+            for start, stop in text_slices(batch, "text"):
+                part = batch.slice(start, stop - start)
+                sets = shingle_sets(part.column("text").to_pylist(), n)
+                h1, h2 = (m.view(np.int64) for m in _marks(sets))
+                own = (h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy())
+                kept = [s if o else s[:0] for s, o in zip(sets, own, strict=True)]
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(kept)), pa.array(np.repeat(part.column("rep").to_numpy(), [len(s) for s in kept]))], schema=POSTINGS)
 
-SPOTS = pa.list_(pa.struct([("zone", pa.int32()), ("low", pa.bool_()), ("chunk", pa.int32()), ("chunks", pa.int32())]))
-SETS = pa.schema([("cluster", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("spots", SPOTS), ("elements", pa.binary())])
-SETS_DDL = "cluster long, node long, copies long, spots array<struct<zone:int,low:boolean,chunk:int,chunks:int>>, elements binary"
+    return run
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    """The low 48 bits of each hash; a block compares sets by these (a chance match of two sets of a thousand: 4e-9)."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+ORDERED_DDL = "rep long, size long, copies long, path binary, ranks binary, tokens array<long>"
+ORDERED = pa.schema([("rep", pa.int64()), ("size", pa.int64()), ("copies", pa.int64()), ("path", pa.binary()), ("ranks", pa.binary()), ("tokens", pa.list_(pa.int64()))])
 
 
-def unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+def _order(num: int, den: int):
+    """Rows sorted by class: sets in the global order with the n-grams of their prefix; classes without a link stay out.
 
+    Input (rep, rank, h): rank -2 tells the number of copies, -1 the size, others the frequency class of n-gram h.
+    """
+    limit = Threshold(num, den)
+
+    def ordered(rep: np.ndarray, rank: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((h, rank, rep))
+        rep, rank, h = rep[order], rank[order], h[order]
+        fresh = np.concatenate(([True], (rep[1:] != rep[:-1]) | (rank[1:] != rank[:-1]) | (h[1:] != h[:-1])))
+        rep, rank, h = rep[fresh], rank[fresh], h[fresh]
+        at = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1])))
+        out = []
+        for lo, hi in zip(at.tolist(), np.append(at[1:], len(rep)).tolist(), strict=True):
+            copies, size, path = int(h[lo].view(np.int64)), int(h[lo + 1].view(np.int64)), h[lo + 2 : hi]
+            reach = limit.prefix(size) - (size - len(path))
+            if reach > 0 and len(path):
+                out.append((int(rep[lo]), size, copies, path.astype("<u8").tobytes(), rank[lo + 2 : hi].astype(np.uint8).tobytes(), path[:reach].view(np.int64).tolist()))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), ORDERED, strict=True)] if out else [pa.array([], type=f.type) for f in ORDERED], schema=ORDERED)
 
-def _map_sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for start, stop in text_slices(batch, "text"):
-                part = batch.slice(start, stop - start)
-                sets = shingle_sets(part.column("text").to_pylist(), n)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "node", "copies", "spots")), pa.array([pack(s) for s in sets], type=pa.binary())], names=SETS.names)
+            if not batch.num_rows:
+                continue
+            cols = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            if held and cols[0][-1] == held[0][0][0]:
+                held.append(cols)
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            held.append(tuple(c[:cut] for c in cols))
+            if sum(len(c[0]) for c in held):
+                yield ordered(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held = [tuple(c[cut:] for c in cols)]
+        if held:
+            yield ordered(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
     return run
 
 
-def trie_join(sets: list[np.ndarray], zones: Zones, left: np.ndarray | None = None, low: np.ndarray | None = None, budget: int = 24_000_000) -> tuple[np.ndarray, np.ndarray]:
+def trie_join(sets: list[np.ndarray], limit: Threshold, left: np.ndarray | None = None, sizes: np.ndarray | None = None, ranks: list[np.ndarray] | None = None, budget: int = 24_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) of ``sets`` that reach the threshold; with ``left`` (booleans), only pairs of one left and
-    one other set; with ``low``, only pairs that hold a low set. Empty sets match nothing."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    one other set. ``sizes``: the sizes to judge by, where sets lack elements that no other set holds; ``ranks``: the
+    frequency class of each element, for the global order. Empty sets match nothing."""
+    lengths = np.array([len(s) for s in sets], dtype=np.int64)
+    sizes = lengths if sizes is None else sizes
     found_q: list[np.ndarray] = []
     found_s: list[np.ndarray] = []
-    if len(sets) < 2 or not sizes.any():
+    if len(sets) < 2 or not lengths.any():
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # elements of one set only cannot overlap; the others are ordered by falling frequency
-    order = np.lexsort((values, -counts))
+    values, where, inverse, counts = np.unique(np.concatenate(sets), return_index=True, return_inverse=True, return_counts=True)
+    # elements of one set only cannot overlap; the others keep the global order, the frequent ones first
+    order = np.lexsort((values, -(np.concatenate(ranks)[where].astype(np.int64)) if ranks else np.zeros(len(values)), counts < 2))
     rank = np.empty(len(values), dtype=np.int64)
     rank[order] = np.arange(len(values))
     shared = int((counts >= 2).sum())
     paths, at = [], 0
-    for size in sizes:
+    for size in lengths:
         r = rank[inverse[at : at + size]]
         paths.append(np.sort(r[r < shared]))
         at += size
-    del values, inverse, counts, order, rank
-    lengths = np.array([len(p) for p in paths], dtype=np.int64)
+    del values, where, inverse, counts, order, rank
+    lengths, filled = np.array([len(p) for p in paths], dtype=np.int64), lengths
     docs = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
-    docs = [i for i in docs if sizes[i]]
+    docs = [i for i in docs if filled[i]]
     if not docs or not shared:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     # common prefix of neighbours: with it, the sorted list is the trie
@@ -280,8 +284,7 @@ def trie_join(sets: list[np.ndarray], zones: Zones, left: np.ndarray | None = No
         differ = np.flatnonzero(a[:w] != b[:w])
         lcp[k] = differ[0] if len(differ) else w
     doc_at, doc_size, doc_len = np.array(docs), sizes[docs], lengths[docs]
-    low = np.ones(len(sets), dtype=bool) if low is None else low
-    queries = np.array([i for i in docs if (low[i] if left is None else left[i])], dtype=np.int64)
+    queries = np.array([i for i in docs if left is None or left[i]], dtype=np.int64)
     width = max(16, budget // shared)
     for lo in range(0, len(queries), width):
         q = queries[lo : lo + width]
@@ -296,8 +299,8 @@ def trie_join(sets: list[np.ndarray], zones: Zones, left: np.ndarray | None = No
             s_low, s_high, longest = doc_size[a:b].min(), doc_size[a:b].max(), int(doc_len[a:b].max())
             path = paths[docs[a]]
             size_q = q_size[active]
-            fits = (s_high * zones.den >= zones.num * size_q) & (s_low * zones.num <= zones.den * size_q)
-            need = zones.needed(size_q, np.maximum(s_low, -(-zones.num * size_q // zones.den)))
+            fits = (s_high * limit.den >= limit.num * size_q) & (s_low * limit.num <= limit.den * size_q)
+            need = limit.needed(size_q, np.maximum(s_low, -(-limit.num * size_q // limit.den)))
             while True:
                 fits &= overlap + np.minimum(longest - depth, q_len[active] - overlap) >= need
                 if not fits.all():
@@ -314,11 +317,11 @@ def trie_join(sets: list[np.ndarray], zones: Zones, left: np.ndarray | None = No
             k = a
             while k < b and doc_len[k] == end:  # sets that end here
                 i, s = docs[k], doc_size[k]
-                hit = overlap >= zones.needed(q_size[active], s)
+                hit = overlap >= limit.needed(q_size[active], s)
                 other = q[active[hit]]
                 if left is not None:
-                    other = other[:0] if left[i] else other[low[other] | low[i]]
-                elif low[i]:
+                    other = other[:0] if left[i] else other
+                else:
                     other = other[other < i]
                 if len(other):
                     found_q.append(other)
@@ -340,44 +343,64 @@ LINKS = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _join_blocks(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zones = Zones(num, den)
-
-        def block(i: int, j: int, rows: list[tuple]) -> pa.RecordBatch | None:
-            nodes = np.array([r[0] for r in rows], dtype=np.int64)
-            copies = np.array([r[1] for r in rows], dtype=np.int64)
-            sets = [unpack(r[3]) for r in rows]
-            left = None if i == j else np.array([r[2] == i for r in rows])
-            x, y = trie_join(sets, zones, left, np.array([r[4] for r in rows]))
-            if not len(x):
-                return None
-            links = np.zeros(len(nodes), dtype=np.int64)
-            np.add.at(links, x, copies[y])
-            np.add.at(links, y, copies[x])
-            src, dst = local_forest([(nodes[x], nodes[y])])
-            hit = links > 0
-            kind = np.concatenate([np.zeros(len(src), dtype=np.int8), np.ones(int(hit.sum()), dtype=np.int8)])
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([src, nodes[hit]])), pa.array(np.concatenate([dst, links[hit]]))], schema=LINKS)
+    """Rows sorted by block: links found, as a forest (kind 0: node, node) and as counts (kind 1: node, documents linked)."""
+    limit = Threshold(num, den)
+
+    def block(i: int, j: int, rows: list[tuple]) -> pa.RecordBatch | None:
+        nodes, sizes, copies, chunk = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(4))
+        sets = [np.frombuffer(r[4], dtype="<u8") for r in rows]
+        x, y = trie_join(sets, limit, None if i == j else chunk == i, sizes, [np.frombuffer(r[5], dtype=np.uint8) for r in rows])
+        if not len(x):
+            return None
+        links = np.zeros(len(nodes), dtype=np.int64)
+        np.add.at(links, x, copies[y])
+        np.add.at(links, y, copies[x])
+        src, dst = local_forest([(nodes[x], nodes[y])])
+        hit = links > 0
+        kind = np.concatenate([np.zeros(len(src), dtype=np.int8), np.ones(int(hit.sum()), dtype=np.int8)])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([src, nodes[hit]])), pa.array(np.concatenate([dst, links[hit]]))], schema=LINKS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("cluster", "zone", "i", "j", "node", "copies", "chunk", "low", "elements")]
-            for cluster, zone, i, j, node, copies, chunk, low, elements in zip(*cols, strict=True):
-                if (cluster, zone, i, j) != key:
-                    if key and (out := block(key[2], key[3], rows)):
+            cols = [batch.column(c).to_pylist() for c in ("component", "i", "j", "rep", "size", "copies", "chunk", "path", "ranks")]
+            for component, i, j, *row in zip(*cols, strict=True):
+                if (component, i, j) != key:
+                    if key and (out := block(key[1], key[2], rows)):
                         yield out
-                    key, rows = (cluster, zone, i, j), []
-                if rows and rows[-1][0] == node:  # rows that share an id
-                    if len(elements) > len(rows[-1][3]):
-                        rows[-1] = (node, copies, chunk, elements, low)
-                    continue
-                rows.append((node, copies, chunk, elements, low))
-        if key and (out := block(key[2], key[3], rows)):
+                    key, rows = (component, i, j), []
+                rows.append(tuple(row))
+        if key and (out := block(key[1], key[2], rows)):
             yield out
 
     return run
 
 
+def _candidate_blocks(active: DataFrame, limit: Threshold, scratch: Scratch) -> DataFrame:
+    """(rep, component, chunk, i, j): the blocks in which each set meets every other that shares a prefix n-gram."""
+    tokens = active.select("rep", F.explode("tokens").alias("token"))
+    # written, so that the join deals both sides anew and AQE can split a frequent n-gram
+    lead = scratch.keep(tokens.groupBy("token").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("token", "lead"))
+    comps = connected_components(tokens.join(lead, "token").where("rep <> lead").select(F.col("rep").alias("src"), F.col("lead").alias("dst")).distinct(), scratch)
+    klass = F.size(F.filter(F.array(*(F.lit(s) for s in limit.size_classes())), lambda s: s <= F.col("size")))
+    placed = scratch.keep(active.select(F.col("rep").alias("node"), klass.cast("long").alias("klass"), (F.octet_length("path") / 8).cast("long").alias("elements")).join(comps, "node"))
+    stats = placed.groupBy("component", "klass").agg(F.count("*").alias("sets"), F.sum("elements").alias("elements"))
+    whole = stats.groupBy("component").agg(F.sum("sets").alias("all_sets"), F.sum("elements").alias("all_elements")).where("all_sets > 1")
+    big = (F.col("all_sets") > CHUNK) | (F.col("all_elements") > CHUNK_ELEMENTS)
+    parts = F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("elements") / CHUNK_ELEMENTS))
+    groups = scratch.keep(stats.join(whole, "component").select("component", "klass", big.alias("big"), parts.alias("parts")))
+    chunk = F.when(F.col("big"), F.col("klass") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
+    spots = scratch.keep(placed.join(groups, ["component", "klass"]).select(F.col("node").alias("rep"), "component", "big", chunk.alias("chunk")))
+    alone = spots.where("not big").select("rep", "component", "chunk", F.col("chunk").alias("other"))
+    # for large components: the chunks that share an n-gram with a set, one row an n-gram and one a set whatever the group
+    large = tokens.join(spots.where("big").select("rep", "component", "chunk"), "rep")
+    held = scratch.keep(large.groupBy("token", "component").agg(F.collect_set("chunk").alias("chunks")).where(F.size("chunks") > 1))
+    met = large.join(held, ["token", "component"]).groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("chunks"))).alias("chunks"))
+    near = spots.where("big").join(met, "rep", "left").withColumn("other", F.explode(F.array_union(F.array("chunk"), F.coalesce("chunks", F.array().cast("array<long>")))))
+    near = near.where(F.abs(F.shiftright("chunk", 32) - F.shiftright("other", 32)) <= 1).select("rep", "component", "chunk", "other")
+    return alone.unionAll(near).select("rep", "component", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents of ``docs`` with the components of the graph that links n-gram sets of Jaccard >= num/den.
 
@@ -385,41 +408,42 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     set, n_links the number of other documents linked directly, component_id the smallest id reachable by links,
     itself included. Null, empty or blank texts have n_shingles 0, no links, and their own id as class and component.
     Rows with a null id are left out; of rows that share an id the one with the largest set counts. Other columns are
-    ignored, an empty table gives an empty result. Equal texts form a class and are joined once. Thresholds below 0.75 are refused.
+    ignored, an empty table gives an empty result. Equal texts form a class and are joined once.
     """
-    Zones(num, den)  # refuses thresholds that it cannot guarantee
+    limit = Threshold(num, den)
     scratch = Scratch(docs.sparkSession, "ngram")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    met = scratch.keep(base.mapInArrow(_map_keys(n, num, den), ROWS_DDL).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, ROWS_DDL))
-    info = met.where("kind = 1").groupBy(F.col("a").alias("node")).agg(F.max(F.struct(F.col("b").alias("size"), F.col("c").alias("h1"), F.col("d").alias("h2"))).alias("s")).select("node", "s.*")
-    near = scratch.keep(connected_components(met.where("kind = 2").select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).join(info, "node").select("node", F.col("component").alias("cluster"), "size", "h1", "h2"))
-    classes = scratch.keep(near.groupBy("cluster", "size", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies")))
-    starts = F.array(*(F.lit(s) for s in Zones(num, den).all_starts()))
-    klass = F.size(F.filter(starts, lambda s: s <= F.col("size"))) - 1
-    own = F.struct(F.col("klass").alias("zone"), F.lit(True).alias("low"))
-    upper = F.struct((F.col("klass") - 1).alias("zone"), F.lit(False).alias("low"))
-    placed = classes.withColumn("klass", klass).select("cluster", "rep", "copies", "size", F.explode(F.array(own, upper)).alias("p")).select("cluster", "rep", "copies", "size", "p.zone", "p.low").where("zone >= 0")
-    groups = placed.groupBy("cluster", "zone").agg(F.count("*").alias("sets"), F.sum("size").alias("elements"), F.max("low").alias("any_low")).where("sets > 1 and any_low")
-    groups = groups.select("cluster", "zone", F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("elements") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
-    spot = F.struct("zone", "low", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "chunks")
-    members = placed.join(groups, ["cluster", "zone"]).groupBy("cluster", F.col("rep").alias("node"), "copies").agg(F.collect_list(spot).alias("spots"))  # two at most
-    texts = base.join(members.hint("shuffle_hash"), base.id == members.node).select("cluster", "node", "copies", "spots", "text")
-    sets = texts.mapInArrow(_map_sets(n), SETS_DDL).select("cluster", "node", "copies", F.explode("spots").alias("s"), "elements").select("cluster", "node", "copies", "s.*", "elements")
-    blocks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cluster", "zone", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "copies", "chunk", "low", "elements")
-    links = scratch.keep(blocks.repartition("cluster", "zone", "i", "j").sortWithinPartitions("cluster", "zone", "i", "j", "node").mapInArrow(_join_blocks(num, den), "kind byte, a long, b long"))
+    met = base.mapInArrow(_map_sieve(n, limit.sieve_end()), SIEVE_DDL).repartition("key").sortWithinPartitions("key").mapInArrow(_meet, SEEN_DDL)
+    facts = F.when(F.col("size").isNotNull(), F.struct("size", "h1", "h2", "seen"))
+    info = scratch.keep(met.groupBy("node").agg(F.max(facts).alias("f"), F.sum("shared").alias("shared")).select("node", "f.*", "shared"))
+    own = F.when(F.col("seen") >= 0, F.col("seen") - F.col("shared"))
+    classes = scratch.keep(info.where("size > 0").groupBy("size", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("copies"), F.coalesce(F.min(own), F.lit(0)).alias("own")))
+    left = scratch.keep(classes.where(F.col("own") < F.col("size") - F.ceil(F.col("size") * num / den) + 1).select("rep", "copies", "size", "h1", "h2"))
+    texts = base.join(left.hint("shuffle_hash"), base.id == left.rep).select("rep", "h1", "h2", "text")
+    post = scratch.keep(texts.mapInArrow(_map_postings(n), "h long, rep long"))
+    freq = post.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.least(F.floor(F.log2("n") * 4), F.lit(255)).cast("int").alias("rank"))
+    shared = post.join(scratch.keep(freq).hint("shuffle_hash"), "h").select("rep", "rank", "h")
+    told = left.select("rep", F.explode(F.array(F.struct(F.lit(-2).alias("rank"), F.col("copies").alias("h")), F.struct(F.lit(-1).alias("rank"), F.col("size").alias("h")))).alias("t")).select("rep", "t.rank", "t.h")
+    active = scratch.keep(shared.unionAll(told).repartition("rep").sortWithinPartitions("rep").mapInArrow(_order(num, den), ORDERED_DDL))
+    scratch.drop(post)
+    blocks = active.drop("tokens").join(_candidate_blocks(active, limit, scratch), "rep")
+    links = scratch.keep(blocks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_join_blocks(num, den), "kind byte, a long, b long"))
     comps = connected_components(links.where("kind = 0").select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch)
     counts = links.where("kind = 1").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    by_class = classes.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cluster", "size", "h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    of = near.join(by_class, ["cluster", "size", "h1", "h2"]).select("node", "rep", "links", "component")
-    return info.join(of, "node", "left").select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("rep", "node").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    by_class = scratch.keep(classes.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("size", "h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")))
+    found = info.where("size > 0").join(by_class, ["size", "h1", "h2"]).select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    empty = info.where("size = 0").select(F.col("node").alias(id_col), F.col("size").alias("n_shingles"), F.col("node").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("node").alias("component_id"))
+    return found.unionAll(empty)
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component, with all their columns. Rows without an id stay
-    out; rows that share an id stay or go together; documents without words are alone and stay."""
+    """The rows of ``docs`` with the smallest id of their component, with all their columns. Rows without an id have
+    no component and stay; rows that share an id stay or go together; documents without words are alone and stay. An
+    empty table gives an empty one."""
     joined = ngram_jaccard_join(docs, n, num, den, id_col, text_col)
     first = joined.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col))
-    return docs.join(first.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns)
+    kept = docs.join(first.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns)
+    return kept.unionAll(docs.where(F.col(id_col).isNull()))
 
 
 def oracle(n: int = 3, num: int = 90, den: int = 100) -> str:
