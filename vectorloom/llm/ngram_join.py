@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.common import Scratch, connected_components, local_forest, mix, mix_int, text_slices, word_hashes
 
-#: Distinct sets and elements in one chunk of a large candidate component.
-CHUNK, CHUNK_ELEMENTS = 140, 400_000
+#: Sets that a candidate component holds before it is cut; sets and elements in a chunk at most. Between them, chunks grow
+#: with the square root of the component, so that both the blocks and the copies of a set stay few.
+CHUNK, CHUNK_SETS, CHUNK_ELEMENTS = 64, 1000, 400_000
 #: Share of the hash space that the sieve reads, over the share of a set that may differ.
 SLACK = 1.6
 
@@ -387,7 +388,8 @@ def _candidate_blocks(active: DataFrame, limit: Threshold, scratch: Scratch) ->
     stats = placed.groupBy("component", "klass").agg(F.count("*").alias("sets"), F.sum("elements").alias("elements"))
     whole = stats.groupBy("component").agg(F.sum("sets").alias("all_sets"), F.sum("elements").alias("all_elements")).where("all_sets > 1")
     big = (F.col("all_sets") > CHUNK) | (F.col("all_elements") > CHUNK_ELEMENTS)
-    parts = F.greatest(F.ceil(F.col("sets") / CHUNK), F.ceil(F.col("elements") / CHUNK_ELEMENTS))
+    wide = F.least(F.lit(CHUNK_SETS), F.greatest(F.lit(CHUNK), F.ceil(1.6 * F.sqrt("all_sets"))))
+    parts = F.greatest(F.ceil(F.col("sets") / wide), F.ceil(F.col("elements") / CHUNK_ELEMENTS))
     groups = scratch.keep(stats.join(whole, "component").select("component", "klass", big.alias("big"), parts.alias("parts")))
     chunk = F.when(F.col("big"), F.col("klass") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0).cast("long"))
     spots = scratch.keep(placed.join(groups, ["component", "klass"]).select(F.col("node").alias("rep"), "component", "big", chunk.alias("chunk")))
