@@ -160,7 +160,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(many), *(pa.nulls(len(own), pa.int64()) for _ in range(4))], schema=SEEN)
 
     last_key, last_node, last_many = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
-    waiting: list[np.ndarray] = []
     for batch in batches:
         key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         kind = pc.fill_null(pc.binary_length(batch.column(2)), -1).to_numpy(zero_copy_only=False)
@@ -176,14 +175,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         runs = np.diff(np.append(at, len(key)))
         met = (runs > 1) | (np.add.reduceat(many, at, dtype=np.int64) > 0)
-        waiting.append(node[np.repeat(met, runs) & ~many])
         # the last run may go on in the next batch; if it has met, its own rows are counted here
         last_key, last_node, last_many = key[-1:], node[-1:], met[-1:].copy()
-        if sum(map(len, waiting)) > 1 << 20:
-            yield counted(np.concatenate(waiting))
-            waiting = []
-    if waiting:
-        yield counted(np.concatenate(waiting))
+        yield counted(node[np.repeat(met, runs) & ~many])
 
 
 POSTINGS = pa.schema([("h", pa.int64()), ("rep", pa.int64())])
