@@ -58,6 +58,20 @@ def test_edges(spark):
     assert H.hilbert_shards(df.limit(0)).count() == 0
 
 
+def test_min_and_max_rule_most_shards_out(spark):
+    """A source, a language or a size class lies in under half of the shards' ranges."""
+    docs = [(i, f"text {i} " * (1 + (i * 37) % 90), f"l{(i * 7) % 4}", f"s{(i * 11) % 20:02d}") for i in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    place = {r.doc_id: (r.shard, r.size.bit_length()) for r in H.hilbert_shards(df).collect()}
+    for value in (lambda d: d[3], lambda d: d[2], lambda d: place[d[0]][1]):
+        seen: dict = {}
+        for d in docs:
+            seen.setdefault(place[d[0]][0], set()).add(value(d))
+        values = {value(d) for d in docs}
+        touched = [sum(min(s) <= v <= max(s) for s in seen.values()) for v in values]
+        assert sum(touched) / len(touched) < 12
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a", "l", "s")], "doc_id long, text string, lang string, source string")
     plan = H.hilbert_shards(df)._jdf.queryExecution().executedPlan().toString()
