@@ -1,4 +1,6 @@
+import math
 import random
+import unicodedata
 
 from vectorloom.llm import language_id as L
 
@@ -41,6 +43,50 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     assert len(L.training_rows(df, per_lang=10)) == 30
 
 
+def test_sample_is_bounded_whatever_the_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_ROWS", 60)
+    monkeypatch.setattr(L, "MOST_LANGS", 20)
+    df = spark.createDataFrame([(i, f"text number {i}", f"g{i % 50}" if i % 3 else "main") for i in range(900)], "doc_id long, text string, lang string")
+    used = L.training_rows(df)
+    assert len({g for _, g in used}) == 20 and "main" in {g for _, g in used} and len(used) <= 60
+    assert L.training_rows(df.limit(0)) == []
+
+
+def test_letters_are_unicode_letters(spark):
+    """Numerals, superscripts, fractions and marks are no letters; modifier and other letters are."""
+    odd = ["²", "½ ³", "①②", "Ⅷ", "٣", "\u0301", "_", "€5", "ª", "ʰ", "中", "a1"]
+    for text in odd:
+        assert L.has_letter(text) == any(unicodedata.category(c).startswith("L") for c in text)
+    model = L.fit([(t, g) for _, t, g in texts(60)])
+    assert [g == "und" for g, _ in model.predict(odd)] == [True] * 8 + [False] * 4
+
+
+def test_prediction_against_brute_force():
+    """The score of a text is the softmax of the mean of its subwords' rows, taken one at a time."""
+    model = L.fit([(t, g) for _, t, g in texts(120)])
+    sample = [t for _, t, _ in texts(40, seed=9)] + ["Alo, BERO!", "žeši", "x"]
+    got = model.predict(sample)
+
+    def bucket(piece, factor):
+        value = 0
+        for byte in piece:
+            value = (value << 8 | byte) & 0xFFFFFFFF
+        return (value * factor & 0xFFFFFFFF) >> (32 - L.BUCKET_BITS)
+
+    for text, (lang, score) in zip(sample, got, strict=True):
+        folded = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.encode())
+        rows = []
+        for word in folded.split(b" "):
+            if word:
+                edged = b" " + word + b" "
+                rows += [bucket(edged[k : k + 3], 2654435761) for k in range(len(edged) - 2)]
+                rows += [bucket(edged[k : k + 4], 2246822519) for k in range(len(edged) - 3)]
+        logits = [(sum(float(model.table[r][k]) for r in rows) / len(rows) + model.bias[k]) / model.temperature for k in range(len(model.langs))]
+        p = [math.exp(x - max(logits)) for x in logits]
+        best = p.index(max(p))
+        assert lang == model.langs[best] and abs(score - p[best] / sum(p)) < 1e-5
+
+
 def test_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert L.language_id(df).first().lang_pred == "und"

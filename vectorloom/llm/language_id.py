@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from vectorloom.llm.common import text_slices
+from vectorloom.llm.common import Scratch, text_slices
 
 #: Hash buckets (a power of two) and embedding width.
 BUCKET_BITS, WIDTH = 14, 16
 #: A-Z to a-z; every other ASCII byte that is no letter to a space. Other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+#: Bounds of the training sample: rows a language, rows in all, languages (the most frequent ones), bytes of a text.
+PER_LANG, MOST_ROWS, MOST_LANGS, MOST_BYTES = 600, 6_000, 300, 20_000
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether the text holds a character of the Unicode categories Lu, Ll, Lt, Lm or Lo."""
+    return any(map(str.isalpha, text or ""))
 
 
 def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +68,7 @@ class Model:
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
         for i, text in enumerate(texts):
-            out.append((self.langs[best[i]], float(p[i, best[i]])) if text and _LETTER.search(text) else ("und", 0.0))
+            out.append((self.langs[best[i]], float(p[i, best[i]])) if has_letter(text) else ("und", 0.0))
         return out
 
 
@@ -99,7 +105,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 4, rate: float = 0.5, false_r
     Without rows, or without any subword, the model knows no language; one language is enough.
     """
     rng = np.random.default_rng(seed)
-    rows = sorted((t, g) for t, g in rows if t and g is not None and _LETTER.search(t))
+    rows = sorted((t, g) for t, g in rows if g is not None and has_letter(t))
     langs = sorted({g for _, g in rows})
     if not langs:
         return Model(["und"], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1), 1.0, 0.5)
@@ -156,17 +162,22 @@ def is_held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(4)) == 2
 
 
-def training_rows(docs: DataFrame, per_lang: int = 600, max_bytes: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows outside the held-out quarter: of each language the ``per_lang`` rows with the
-    smallest hash among texts of 1 to ``max_bytes`` bytes."""
+def training_rows(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", scratch: Scratch | None = None) -> list[tuple[str, str]]:
+    """A bounded sample of labelled rows outside the held-out quarter: of each of the ``MOST_LANGS`` most frequent
+    languages the ``per_lang`` rows with the smallest hash among texts of 1 to ``max_bytes`` bytes, fewer where that
+    would be more than ``MOST_ROWS`` in all (one a language at least). One scan counts, another writes the sample."""
+    scratch = scratch or Scratch(docs.sparkSession, "language")
     usable = docs.where(~F.coalesce(is_held_out(id_col), F.lit(True)) & F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, max_bytes))
-    # a first cut by hash, so that no partition sends more than its share of a language to be ranked
-    sizes = usable.groupBy(lang_col).agg(F.count("*").alias("_n"))
-    usable = usable.join(F.broadcast(sizes), lang_col).where((F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.lit(float(2 * per_lang << 30)) / F.col("_n"))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)), id_col))
-    ids = usable.select(id_col, lang_col).withColumn("_rank", rank).where(F.col("_rank") <= per_lang).select(id_col).distinct()
-    rows = usable.select(id_col, text_col, lang_col).join(F.broadcast(ids), id_col)  # per_lang ids a language
-    return [(r[0], r[1]) for r in rows.select(text_col, lang_col).collect()]
+    usable = usable.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("hash"), F.col(id_col).alias("id"))
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    if not sizes:
+        return []
+    per_lang = max(1, min(per_lang, MOST_ROWS // len(sizes)))
+    # twice the share of a language by hash, so that little is left to rank
+    shares = docs.sparkSession.createDataFrame([(r[0], float(2 * per_lang << 30) / r[1]) for r in sizes], "lang string, share double")
+    taken = scratch.keep(usable.join(F.broadcast(shares), "lang").where("hash < share").drop("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id", "text"))
+    return [(r[0], r[1]) for r in taken.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("text", "lang").collect()]
 
 
 def _map_predict(model: Model, schema: pa.Schema, id_at: int, text_at: int):
@@ -202,7 +213,9 @@ def language_id(docs: DataFrame, model: Model | None = None, id_col: str = "doc_
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is identified, with all their columns."""
+    """The rows of ``docs`` whose language is identified, with all their columns: not ``und`` and not below the
+    calibrated threshold. Null texts and texts without a letter go; ids are not looked at; repeated rows stay or go
+    each; an empty table gives an empty one."""
     model = model or fit(training_rows(docs, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
