@@ -167,7 +167,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000,
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.35, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that ``quality_scores`` does not reject, with all their columns. A repeated id goes only
-    if every row of it is rejected; rows without an id stay out."""
+    if every row of it is rejected; rows without an id, whose score cannot be met again, stay. Null and empty texts are
+    judged by their site alone; an empty table gives an empty one."""
     scores = quality_scores(docs, labels, cut=cut, id_col=id_col, **options)
     good = scores.where(~F.col("rejected")).select(id_col).distinct()
-    return docs.join(good.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns)
+    return docs.join(good.hint("shuffle_hash"), id_col, "left_semi").select(*docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
