@@ -39,6 +39,20 @@ def test_matches_brute_force(spark, monkeypatch):
     check(spark, rows, recall=0.9999)
 
 
+def test_a_large_bucket_of_distinct_near_copies(spark):
+    """6 000 distinct vectors around one, in buckets of several chunks in every table, beside others."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal(16) + rng.standard_normal((6000, 16)) * 0.04, rng.standard_normal((300, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.embedding_near_dedup(df, recall=0.9999999).collect()}
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    close = y @ y.T >= 0.95
+    np.fill_diagonal(close, False)
+    assert close[:6000].sum() > 30_000_000
+    assert [got[i][0] for i in range(len(x))] == close.sum(axis=1).tolist()
+    assert {got[i][1] for i in range(6000)} == {0}
+
+
 def test_odd_vectors(spark):
     check(spark, [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 1.0]), (8, [2.0, 2.0]), (9, [1.0, 1.0, 0.0]), (10, [-0.0, 1.0]), (11, [0.0, 1.0]), (12, [3e38, 3e38])])
 
