@@ -18,7 +18,47 @@ def test_places(spark):
     assert got == [(1, "MIT", 2, 6, 1.0), (2, "GPL-3.0", 0, 11, 1.0), (3, "GPL-2.0", 0, 11, 1.0), (5, "MIT", 500, 499 + words, 1.0), (6, "all-rights-reserved", 0, 2, 1.0), (7, "CC-BY-4.0", 7, 11, 1.0), (7, "CC-BY-NC-4.0", 1, 5, 1.0), (7, "MIT", 13, 17, 1.0)]
 
 
-def test_against_brute_force(spark):
+def brute(scanner, text):
+    """Every template held against every window of the text, without grid or bands; the same choice among what overlaps."""
+    flat, _ = L.word_hashes([text], L.DROP)
+    found = set()
+    for t, words in enumerate(scanner.words):
+        size = scanner.window(len(words))
+        near = set(words.tolist())
+        for first in [k for k in range(max(1, len(flat) - 1)) if len(flat) > 1 and int(flat[k]) in near]:
+            found |= {(t, first + got[0], first + got[1], *got[2:]) for got in scanner.verify(t, flat[first : first + 3 * size // 4 + 1])}
+    out = []
+    for f in sorted(found, key=lambda f: (-f[4], -f[3], -len(scanner.words[f[0]]), f[1], f[2], f[0])):
+        if all(f[2] < g[1] or f[1] > g[2] for g in out):
+            out.append(f)
+    return sorted((scanner.names[f[0]], f[1], f[2], f[3]) for f in out)
+
+
+def test_against_whole_texts_in_any_company():
+    """Statements, cut and changed, between other words: as brute force finds them, whatever stands beside the document."""
+    rng = random.Random(21)
+    scanner = L.Scanner(L.TEMPLATES, 0.85, 0.9999, 17)
+    texts = []
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            own = rng.choice(L.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = "changed"
+            words += ["".join(rng.choices("qxz", k=6)) for _ in range(rng.choice([0, 1, 5, 90, 200]))] + own[: rng.choice([len(own), len(own), len(own) - 1])]
+        texts.append(" ".join(words))
+    texts += ["", "one", None]
+    want = [brute(scanner, t) for t in texts]
+    assert sum(map(len, want)) > 60
+    for _ in range(4):
+        order = rng.sample(range(len(texts)), len(texts))
+        got = [[] for _ in texts]
+        for doc, template, first, last, share in scanner.find([texts[i] for i in order]):
+            got[order[doc]].append((scanner.names[template], first, last, share))
+        assert [sorted(g) for g in got] == want
+
+
+def test_planted_statements(spark):
     """Every template, with a word changed in the long ones, at random places of random text."""
     rng = random.Random(11)
     docs = []

@@ -97,25 +97,28 @@ class Scanner:
         flat, bounds = word_hashes(texts, DROP)
         if len(flat) < SHINGLE:
             return []
-        shingle = self.shingles(flat)
+        # every document has a grid of its own, so what stands beside it does not move its windows
+        counts = np.maximum(np.diff(bounds) - 1, 0)
+        widest = max(self.sizes, default=4) // 4
+        room = -(-counts // widest) * widest
+        begins = np.cumsum(room) - room
+        inside = np.repeat(begins - bounds[:-1], counts)
+        word = np.arange(counts.sum()) + np.repeat(bounds[:-1] - (np.cumsum(counts) - counts), counts)
+        shingle, place = self.shingles(flat)[word], word + inside
         seen: set[tuple[int, int, int]] = set()
-        hits = []
-        ends = bounds[1:]
+        found = []
         for b in range(self.bands):
-            low, step = None, 1
-            value = self.hashes(shingle, b)
+            low, step = np.full(int(room.sum()), (1 << 64) - 1, dtype=np.uint64), 1
+            low[place] = self.hashes(shingle, b)
             for size in self.sizes:
                 while step < size // 4:  # minima over steps of size/4, doubled from size to size
-                    base = value if low is None else low
-                    if len(base) % 2:
-                        base = np.append(base, np.uint64((1 << 64) - 1))
-                    low = np.minimum(base[0::2], base[1::2])
+                    low = np.minimum(low[0::2], low[1::2])
                     step *= 2
-                base = value if low is None else low
-                least = base.copy()
+                least = low.copy()
+                owner = np.repeat(np.arange(len(room)), room // step)
                 for j in range(1, 4):
-                    if len(base) > j:
-                        np.minimum(least[:-j], base[j:], out=least[:-j])
+                    if len(low) > j:
+                        np.minimum(least[:-j], low[j:], out=least[:-j], where=owner[:-j] == owner[j:])
                 keys, owners, marks = self.tables[size][b]
                 at = np.flatnonzero(marks[(least >> np.uint64(48)).astype(np.int64)])
                 if not len(at):
@@ -123,21 +126,15 @@ class Scanner:
                 spot = np.searchsorted(keys, least[at])
                 good = (spot < len(keys)) & (keys[np.minimum(spot, len(keys) - 1)] == least[at])
                 for w, s in zip(at[good].tolist(), spot[good].tolist(), strict=True):
-                    key = least[w]
+                    key, doc = least[w], int(owner[w])
+                    first = int(bounds[doc] + w * step - begins[doc])
                     while s < len(keys) and keys[s] == key:
                         t = int(owners[s])
                         s += 1
                         if (t, w, size) not in seen:
                             seen.add((t, w, size))
-                            hits.append((t, w * step, min(len(flat), w * step + size + 1)))
-        found = []
-        for t, lo, hi in hits:
-            doc = int(np.searchsorted(ends, lo, side="right"))
-            while doc < len(texts) and bounds[doc] < hi:  # a window may touch several short texts
-                first = max(lo, bounds[doc])
-                for got in self.verify(t, flat[first : min(hi, bounds[doc + 1])]):
-                    found.append((doc, t, int(first - bounds[doc] + got[0]), int(first - bounds[doc] + got[1]), *got[2:]))
-                doc += 1
+                            for got in self.verify(t, flat[first : min(first + size + 1, bounds[doc + 1])]):
+                                found.append((doc, t, int(first - bounds[doc] + got[0]), int(first - bounds[doc] + got[1]), *got[2:]))
         found = sorted(set(found), key=lambda f: (f[0], -f[5], -f[4], -len(self.words[f[1]]), f[2], f[3], f[1]))
         out: list[tuple[int, int, int, int, float]] = []
         taken: dict[int, list[tuple[int, int]]] = {}
@@ -150,7 +147,8 @@ class Scanner:
 
     def verify(self, template: int, words: np.ndarray) -> list[tuple[int, int, float, float]]:
         """(first, last, containment, share of the template's words in order) of disjoint stretches that hold enough of
-        the template's shingles: the stretch that resembles the template most in order, then those before and behind."""
+        the template's shingles: the stretch that resembles the template most in order, then those before and behind. A
+        stretch is no longer than what some window of the grid is sure to hold whole."""
         own = self.sets[template]
         shingles = self.shingles(words).tolist()
         return self._stretches(template, words.tolist(), shingles, [i for i, h in enumerate(shingles) if h in own])
@@ -159,12 +157,14 @@ class Scanner:
         size, length = len(self.sets[template]), len(self.words[template])
         if len({shingles[i] for i in places}) < self.containment * size:
             return []
-        masks, ones = self.masks[template], (1 << length) - 1
+        masks, ones, widest = self.masks[template], (1 << length) - 1, 3 * self.window(length) // 4 + 1
         best = (-1.0, 0, 0, 0.0, 0.0)
         for k, first in enumerate(places):
             held: set[int] = set()
             v, at = ones, first  # common subsequence of words[first:at] by bit-parallel dynamic programming
             for last in places[k:]:
+                if last + SHINGLE - first > widest:
+                    break
                 for word in words[at : last + SHINGLE]:
                     if m := masks.get(word):
                         v = ((v + (v & m)) | (v & ~m)) & ones
