@@ -1,12 +1,14 @@
-"""Learning affine maps by Adam, one task per model; Spark runs many models, categories or rates at once."""
+"""Learning affine maps by Adam. A model's steps follow one another in one task, over batches sorted by model and place;
+Spark runs many models at once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +45,25 @@ class Options:
 
 
 class Adam:
-    """An affine map with its moments. The L2 term enters the matrix gradient only."""
+    """An affine map with its moments, or, with one more axis in front, many of them at once. The L2 term enters the
+    matrix gradient only."""
 
     def __init__(self, weights: Weights):
         self.matrix, self.bias, self.routing = weights.matrix.copy(), weights.bias.copy(), weights.routing
         self.moments = [np.zeros_like(x) for x in (self.matrix, self.matrix, self.bias, self.bias)]
         self.t = 0
 
+    @classmethod
+    def many(cls, n: int, source: int, target: int) -> Adam:
+        """``n`` maps that start as the identity."""
+        out = cls(initial(source, target))
+        out.matrix, out.bias = np.repeat(out.matrix[None], n, axis=0), np.repeat(out.bias[None], n, axis=0)
+        out.moments = [np.zeros_like(x) for x in (out.matrix, out.matrix, out.bias, out.bias)]
+        return out
+
     def step(self, x: np.ndarray, gradient: np.ndarray, rate: float, regularization: float) -> None:
         fix1, fix2 = 1 - BETA1**self.t, 1 - BETA2**self.t
-        for value, g, a, b in ((self.matrix, np.outer(gradient, x) + regularization * self.matrix, 0, 1), (self.bias, gradient, 2, 3)):
+        for value, g, a, b in ((self.matrix, gradient[..., :, None] * x[..., None, :] + regularization * self.matrix, 0, 1), (self.bias, gradient, 2, 3)):
             self.moments[a] = BETA1 * self.moments[a] + (1 - BETA1) * g
             self.moments[b] = BETA2 * self.moments[b] + (1 - BETA2) * g * g
             value -= rate * (self.moments[a] / fix1) / (np.sqrt(self.moments[b] / fix2) + EPSILON)
@@ -152,6 +163,21 @@ def initial(source: int, target: int) -> Weights:
     return Weights(np.eye(target, source), np.zeros(target))
 
 
+def _advance(model: Adam | None, objective: Objective, example: dict, options: Options, rate: float | None = None) -> Adam:
+    """One step; the identity starts."""
+    model = model or Adam(initial(*objective.dims(example)))
+    x = objective.input(example)
+    model.t += 1
+    gradient = objective.gradient(model.matrix @ x + model.bias, example, options)
+    if gradient is not None:
+        model.step(x, gradient, rate or options.rate, options.regularization)
+    return model
+
+
+def _loss(model: Adam | Weights, objective: Objective, example: dict, options: Options) -> float:
+    return objective.loss(model.matrix @ objective.input(example) + model.bias, example, options)
+
+
 def train(objective: Objective, examples: Iterable[dict] | Callable[[], Iterable[dict]], options: Options = Options(), start: Weights | None = None) -> Weights:  # noqa: B008
     """Steps in the order of the examples, epoch by epoch. A callable is read anew each epoch. With ``patience`` it stops
     once the mean loss has not strictly improved for that many epochs: over the whole set after the epoch, or, for a
@@ -168,21 +194,15 @@ def train(objective: Objective, examples: Iterable[dict] | Callable[[], Iterable
     for _ in range(options.epochs):
         total, n = 0.0, 0
         for example in fresh() if fresh else kept:
-            if model is None:
-                model = Adam(initial(*objective.dims(example)))
-            x = objective.input(example)
-            model.t += 1
-            gradient = objective.gradient(model.matrix @ x + model.bias, example, options)
-            if gradient is not None:
-                model.step(x, gradient, options.rate, options.regularization)
+            model = _advance(model, objective, example, options)
             if fresh and options.patience:
-                total += objective.loss(model.matrix @ x + model.bias, example, options)
+                total += _loss(model, objective, example, options)
             n += 1
         if model is None:
             raise ValidationError("examples", "none")
         if options.patience:
             if kept is not None:
-                total = sum(objective.loss(model.matrix @ objective.input(e) + model.bias, e, options) for e in kept)
+                total = sum(_loss(model, objective, e, options) for e in kept)
             if total / n < best:
                 best, waited = total / n, 0
             else:
@@ -198,7 +218,7 @@ def best_rate(objective: Objective, examples, options: Options) -> float:
     found = []
     for rate in RATES:
         w = train(objective, examples, replace(options, rate=rate, epochs=min(options.epochs, TRIAL_EPOCHS), patience=None, auto_rate=False))
-        found.append(sum(objective.loss(w.matrix @ objective.input(e) + w.bias, e, options) for e in read()))
+        found.append(sum(_loss(w, objective, e, options) for e in read()))
     return RATES[int(np.argmin(np.nan_to_num(found, nan=np.inf)))]
 
 
@@ -214,56 +234,122 @@ class OnlineTrainer:
             self.model = Adam(weights)
         m = self.model
         m.matrix, m.bias, m.routing = weights.matrix.copy(), weights.bias.copy(), weights.routing
-        x = self.objective.input(example)
-        m.t += 1
-        gradient = self.objective.gradient(m.matrix @ x + m.bias, example, self.options)
-        if gradient is not None:
-            m.step(x, gradient, rate or self.options.rate, self.options.regularization)
-        return m.weights()
+        return _advance(m, self.objective, example, self.options, rate).weights()
 
 
-def examples_of(pdf: pd.DataFrame, objective: Objective) -> list[dict]:
-    out = []
-    for row in pdf.sort_values("seq", kind="stable").to_dict("records"):
-        out.append({c: np.stack([np.asarray(v, dtype=np.float64) for v in row[c]]) if c == "negatives" and len(row[c]) else np.asarray(row[c], dtype=np.float64) for c in objective.columns})
-    return out
+def _arrays(column: pa.Array) -> list:
+    """The values of an Arrow column: numbers, vectors or stacks of vectors."""
+    if not (pa.types.is_list(column.type) or pa.types.is_large_list(column.type)):
+        return column.cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()
+    offsets, inner = column.offsets.to_numpy(), column.values
+    if pa.types.is_list(inner.type) or pa.types.is_large_list(inner.type):
+        rows = _arrays(inner)
+        return [np.stack(rows[a:b]) if b > a else np.empty((0, 0)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    flat = inner.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def read_examples(batch: pa.RecordBatch, columns: Iterable[str]) -> Iterator[dict]:
+    """The rows of a batch as examples."""
+    names = list(columns)
+    for row in zip(*(_arrays(batch.column(c)) for c in names), strict=True):
+        yield dict(zip(names, row, strict=True))
 
 
 WEIGHT_ROWS = "i long, j long, w double"
 
 
-def weight_rows(weights: Weights) -> pd.DataFrame:
-    """(i, j, w); the bias has j null."""
+def weight_rows(weights: Weights) -> list[pa.Array]:
+    """Columns (i, j, w); the bias has j null."""
     rows, cols = weights.matrix.shape
     i, j = np.divmod(np.arange(rows * cols), cols)
-    return pd.concat([pd.DataFrame({"i": i, "j": pd.array(j, dtype="Int64"), "w": weights.matrix.reshape(-1)}), pd.DataFrame({"i": np.arange(rows), "j": pd.array([None] * rows, dtype="Int64"), "w": weights.bias})], ignore_index=True)
+    return [pa.array(np.concatenate([i, np.arange(rows)])), pa.concat_arrays([pa.array(j), pa.nulls(rows, pa.int64())]), pa.array(np.concatenate([weights.matrix.reshape(-1), weights.bias]))]
+
+
+def _repeat(value, kind: pa.DataType, n: int) -> pa.Array:
+    return pa.array([value], kind).take(pa.array(np.zeros(n, dtype=np.int64)))
 
 
 def train_models(examples: DataFrame, objective: Objective, options: Options = Options(), by: str = "model") -> DataFrame:  # noqa: B008
     """(by, i, j, w): a map for each value of ``by``, trained in the order of ``seq``. A model's examples are one task, as
-    its steps follow one another; models run side by side."""
+    its steps follow one another; models run side by side. A single epoch reads sorted batches and holds nothing; more
+    epochs, patience or a rate search hold one model's examples as dense arrays."""
     options.check()
     kind = examples.schema[by].dataType.simpleString()
+    once = options.epochs == 1 and not options.patience and not options.auto_rate
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, field, model, held = None, None, None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal model, held
+            if model or held:
+                columns = weight_rows(model.weights() if once else train(objective, held, options))
+                yield pa.RecordBatch.from_arrays([_repeat(key, field, len(columns[0])), *columns], names=[by, "i", "j", "w"])
+            model, held = None, []
+
+        for batch in batches:
+            field = batch.schema.field(0).type
+            for own, example in zip(batch.column(0).to_pylist(), read_examples(batch, objective.columns), strict=True):
+                if own != key:
+                    yield from close()
+                    key = own
+                if once:
+                    model = _advance(model, objective, example, options)
+                else:
+                    held.append(example)
+        yield from close()
+
+    rows = examples.select(by, "seq", *objective.columns)
+    return rows.repartition(by).sortWithinPartitions(by, "seq").mapInArrow(run, f"{by} {kind}, {WEIGHT_ROWS}")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = weight_rows(train(objective, examples_of(pdf, objective), options))
-        out.insert(0, by, pdf[by].iloc[0])
-        return out
 
-    return examples.select(by, "seq", *objective.columns).groupBy(by).applyInPandas(one, f"{by} {kind}, {WEIGHT_ROWS}")
+def rate_losses(examples: DataFrame, objective: Objective, options: Options = Options()) -> DataFrame:  # noqa: B008
+    """(rate, loss) of every candidate rate after a short training over all examples in the order of ``seq``.
 
+    An epoch is one pass of one task over the sorted rows that steps all candidates, so nothing is copied or held; the
+    losses are then summed over all partitions."""
+    trial = replace(options, epochs=min(options.epochs, TRIAL_EPOCHS), patience=None, auto_rate=False).check()
+    rows = examples.select("seq", *objective.columns)
 
-def rate_losses(examples: DataFrame, objective: Objective, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """(rate, loss) of every candidate rate, each trained in its own task."""
-    trial = replace(options, epochs=min(options.epochs, TRIAL_EPOCHS), patience=None, auto_rate=False)
-    spread = examples.withColumn("rate", F.explode(F.array(*(F.lit(r) for r in RATES))))
+    def epoch(models: list[Adam | None]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = list(models)
+            for batch in batches:
+                for example in read_examples(batch, objective.columns):
+                    own = [_advance(m, objective, example, trial, rate) for m, rate in zip(own, RATES, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], names=["models"])
+
+        return run
+
+    models: list[Adam | None] = [None] * len(RATES)
+    for _ in range(trial.epochs):
+        models = pickle.loads(rows.repartition(1).sortWithinPartitions("seq").mapInArrow(epoch(models), "models binary").first()[0])
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(RATES))
+        for batch in batches:
+            for example in read_examples(batch, objective.columns):
+                total += [_loss(m, objective, example, trial) for m in models]
+        yield pa.RecordBatch.from_arrays([pa.array(RATES), pa.array(total)], names=["rate", "loss"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rate, rows = float(pdf["rate"].iloc[0]), examples_of(pdf, objective)
-        w = train(objective, rows, replace(trial, rate=rate))
-        return pd.DataFrame({"rate": [rate], "loss": [sum(objective.loss(w.matrix @ objective.input(e) + w.bias, e, options) for e in rows)]})
+    return rows.mapInArrow(losses, "rate double, loss double").groupBy("rate").agg(F.sum("loss").alias("loss"))
 
-    return spread.select("rate", "seq", *objective.columns).groupBy("rate").applyInPandas(one, "rate double, loss double")
+
+def train_online(examples: DataFrame, scheduler, weights: Weights, order: list[str]) -> DataFrame:
+    """(steps, i, j, w): the weights after a scheduler has taken all rows in ``order``: one task over sorted batches, since
+    each step starts from the one before; nothing is held but the scheduler's buffer."""
+    columns = scheduler.trainer.objective.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = weights
+        for batch in batches:
+            for example in read_examples(batch, columns):
+                now = scheduler.add(now, [example]) or now
+        out = weight_rows(now)
+        yield pa.RecordBatch.from_arrays([_repeat(scheduler.steps, pa.int64(), len(out[0])), *out], names=["steps", "i", "j", "w"])
+
+    return examples.select(*order, *columns).repartition(1).sortWithinPartitions(*order).mapInArrow(run, f"steps long, {WEIGHT_ROWS}")
 
 
 def factory_examples(samples: DataFrame, by: str, order: str, column: str = "v", max_negatives: int = 7) -> DataFrame:
@@ -334,17 +420,35 @@ class WhiteningFit:
 def fit_whitening(rows: DataFrame, dim: int, components: int = 1, rate: float = 0.01, by: str = "model", column: str = "v") -> DataFrame:
     """(by, mean, components, eigenvalues, n): a sequential fit in the order of ``seq`` for each ``by``."""
     kind = rows.schema[by].dataType.simpleString()
+    lists = pa.list_(pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, field, fit = None, None, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], field), pa.array([fit.mean.tolist()], lists), pa.array([fit.axes.tolist()], pa.list_(lists)), pa.array([fit.eigenvalues.tolist()], lists), pa.array([fit.count], pa.int64())], names=[by, "mean", "components", "eigenvalues", "n"])
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit = WhiteningFit(dim, components, rate)
-        for v in pdf.sort_values("seq", kind="stable")[column]:
-            fit.update(v)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [fit.mean.tolist()], "components": [fit.axes.tolist()], "eigenvalues": [fit.eigenvalues.tolist()], "n": [fit.count]})
+        for batch in batches:
+            field = batch.schema.field(0).type
+            for own, v in zip(batch.column(0).to_pylist(), _arrays(batch.column(2)), strict=True):
+                if fit is None or own != key:
+                    if fit:
+                        yield row()
+                    key, fit = own, WhiteningFit(dim, components, rate)
+                fit.update(v)
+        if fit:
+            yield row()
 
-    return rows.select(by, "seq", column).groupBy(by).applyInPandas(one, f"{by} {kind}, mean array<double>, components array<array<double>>, eigenvalues array<double>, n long")
+    sorted_rows = rows.select(by, "seq", column).repartition(by).sortWithinPartitions(by, "seq")
+    return sorted_rows.mapInArrow(run, f"{by} {kind}, mean array<double>, components array<array<double>>, eigenvalues array<double>, n long")
 
 
 def ewma(rows: DataFrame, by: str, order: str, value: str, rate: float = 0.01) -> DataFrame:
-    """(by, ewma): exponentially weighted mean in order; the first value starts it. An ordered fold in expressions."""
-    fold = F.aggregate(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))), F.lit(None).cast("double"), lambda s, r: F.when(s.isNull(), r["x"]).otherwise(s * (1 - rate) + r["x"] * rate))
-    return rows.groupBy(by).agg(fold.alias("ewma"))
+    """(by, ewma): exponentially weighted mean in order; the first value starts it. A row's weight follows from how many
+    rows come after it, so the mean is a grouped sum behind one window, and no history is held in a row."""
+    back = Window.partitionBy(by).orderBy(F.col(order).desc())
+    after = (F.row_number().over(back) - 1).cast("double")
+    first = F.lead(F.lit(1)).over(back).isNull()
+    weighed = rows.select(by, order, F.col(value).cast("double").alias("x")).withColumn("after", after).withColumn("first", first)
+    share = F.pow(F.lit(1 - rate), F.col("after")) * F.when(F.col("first"), 1.0).otherwise(rate)
+    return weighed.groupBy(by).agg(F.sum(F.col("x") * share).alias("ewma"))

@@ -657,9 +657,14 @@ def adam_one_step(spark, sf_dir):
 
     def run(batches):
         for batch in batches:
-            for i, a, y in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                w = J.train(J.Regression(), [{"input": np.array(a), "target": np.array(y)}], J.Options(epochs=1))
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([w.bias.tolist()])], names=["vec_id", "v"])
+            for lo in range(0, batch.num_rows, 256):  # a block of models steps at once
+                part = batch.slice(lo, 256)
+                pairs = list(J.read_examples(part, ["input", "target"]))
+                x, y = (np.stack([p[c] for p in pairs]) for c in ("input", "target"))
+                model = J.Adam.many(len(x), DIM, DIM)
+                model.t = 1
+                model.step(x, x - y, 0.01, 0.001)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.bias.tolist(), pa.list_(pa.float64()))], names=["vec_id", "v"])
 
     return spread(pairs.mapInArrow(run, "vec_id long, v array<double>"), "vec_id")
 
@@ -677,11 +682,48 @@ def factory_examples(spark, sf_dir):
     return rows.select("label", "seq", "anchor", "positive", F.col("slot").cast("long").alias("slot"), "negative")
 
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"(list_transform([{value}], lambda {name}: {body}))[1]"
+
+
+def _adam(examples: str, out: int, inp: int, gradient: str, rate: str = "0.01", first: str = "0.001") -> str:
+    """SQL of sequential Adam from the identity. ``examples`` ends with a table x (model, n from 1, x input, ...); ``gradient``
+    of the output y is a list, or null for no step. The last state of each model is table z."""
+    start = f"list_transform(range({out * inp}), lambda k: CASE WHEN k // {inp} = k % {inp} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    zeros = lambda n: f"list_transform(range({n}), lambda k: 0.0::DOUBLE)"
+    value = lambda z, m, v: f"CASE WHEN g IS NULL THEN {z} ELSE list_transform({z}, lambda z, k: z - {rate} * ({m}[k] / (1 - pow(0.9, n))) / (sqrt({v}[k] / (1 - pow(0.999, n))) + 1e-8)) END"
+    mean = lambda m, g: f"CASE WHEN g IS NULL THEN {m} ELSE list_transform({m}, lambda z, k: 0.9 * z + 0.1 * {g}[k]) END"
+    square = lambda v, g: f"CASE WHEN g IS NULL THEN {v} ELSE list_transform({v}, lambda z, k: 0.999 * z + 0.001 * {g}[k] * {g}[k]) END"
+    return f"""WITH RECURSIVE {examples},
+r AS (SELECT model, CAST(0 AS BIGINT) AS n, {start} AS w, {zeros(out)} AS b, {zeros(out * inp)} AS mw, {zeros(out * inp)} AS vw, {zeros(out)} AS mb, {zeros(out)} AS vb FROM (SELECT DISTINCT model FROM x)
+UNION ALL SELECT model, n, {value("w", "mw", "vw")}, {value("b", "mb", "vb")}, mw, vw, mb, vb FROM (
+SELECT *  REPLACE ({mean("mw", "gw")} AS mw, {square("vw", "gw")} AS vw, {mean("mb", "g")} AS mb, {square("vb", "g")} AS vb) FROM (
+SELECT *, list_transform(w, lambda z, k: g[(k - 1) // {inp} + 1] * x[(k - 1) % {inp} + 1] + {first} * z) AS gw FROM (
+SELECT *, {gradient} AS g FROM (
+SELECT x.*, w, b, mw, vw, mb, vb, list_transform(b, lambda z, i: list_inner_product(w[(i - 1) * {inp} + 1 : i * {inp}], x.x) + z) AS y FROM r JOIN x ON x.model = r.model AND x.n = r.n + 1))))),
+z AS (SELECT model, n, w, b FROM r QUALIFY row_number() OVER (PARTITION BY model ORDER BY n DESC) = 1)"""
+
+
+def _weights_sql(out: int, inp: int, by: str) -> str:
+    return f"SELECT model AS {by}, CAST((k - 1) // {inp} AS BIGINT) AS i, CAST((k - 1) % {inp} AS BIGINT) AS j, round(w[k], 6) + 0.0 AS w FROM z, range(1, {out * inp + 1}) t(k) UNION ALL SELECT model, CAST(k - 1 AS BIGINT), CAST(-1 AS BIGINT), round(b[k], 6) + 0.0 FROM z, range(1, {out + 1}) t(k)"
+
+
+def _epochs(rows: str, times: int) -> str:
+    """Table x from rows (model, seq, ...), ``times`` over."""
+    return f"x AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY epoch, seq) AS n FROM ({rows}), range({times}) u(epoch))"
+
+
+_NEXT = "SELECT {model} AS model, a.vec_id AS seq, a.v AS x, b.v AS t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1"
+_OFF = "list_transform(y, lambda z, i: z - t[i])"
+_HINGE = "CASE WHEN 0.1 + list_inner_product(y, ng) - list_inner_product(y, ps) > 0 THEN list_transform(y, lambda z, i: ng[i] - ps[i]) END"
+_EX = "SELECT ex % 10 AS model, ex AS seq, a AS x, p AS ps, n[1] AS ng, list_concat(a, p) AS qd, list_inner_product(a, p) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(p, p))) AS score FROM x0"
+
+
 def _trained(rows: DataFrame, by: str) -> DataFrame:
     return rows.select(by, F.col("i").cast("long").alias("i"), F.coalesce("j", F.lit(-1)).alias("j"), r6(F.col("w")).alias("w"))
 
 
-@query()
+@query(_adam(f"{E}, " + _epochs(_NEXT.format(model="a.label"), 2), DIM, DIM, _OFF) + _weights_sql(DIM, DIM, "label"))
 def train_intent(spark, sf_dir):
     """A regression map for each label: vector to its successor."""
     e = emb(spark, sf_dir)
@@ -689,40 +731,56 @@ def train_intent(spark, sf_dir):
     return _trained(J.train_models(rows, J.Regression(), J.Options(epochs=2), "label"), "label")
 
 
-@query()
+@query(_adam(f"{E}, {_TRIPLE.replace('x AS', 'x0 AS', 1)}, " + _epochs(_EX, 2), DIM, DIM, _HINGE, "0.005") + _weights_sql(DIM, DIM, "model"))
 def train_triplet(spark, sf_dir):
     x = _examples(emb(spark, sf_dir)).select((F.col("ex") % 10).alias("model"), F.col("ex").alias("seq"), F.col("query").alias("anchor"), "positive", F.col("negatives")[0].alias("negative"))
     return _trained(J.train_models(x, J.Triplet(), J.Options(epochs=2, rate=0.005)), "model")
 
 
-@query()
+def _contrast(t: str) -> str:
+    score = f"list_concat([list_inner_product(y, ps) / {t}], list_transform(ng, lambda c: list_inner_product(y, c) / {t}))"
+    shares = _let(score, "s", _let("list_transform(s, lambda c: exp(c - list_max(s)))", "h", "list_transform(h, lambda c: c / list_sum(h))"))
+    return _let(shares, "p", f"list_transform(y, lambda c, i: ((p[1] - 1) * ps[i] + list_sum(list_transform(ng, lambda d, k: p[k + 1] * d[i]))) / {t})")
+
+
+@query(_adam(f"{E}, {_FACTORY}, c AS (SELECT k.label, k.i, k.vec_id, k.positive, list(o.vec_id ORDER BY k.k) AS others, list(v.v ORDER BY k.k) AS ng FROM k JOIN p o ON o.place = CASE WHEN k.at >= k.before THEN k.at + k.n ELSE k.at END JOIN e v ON v.vec_id = o.vec_id GROUP BY ALL), " + _epochs("SELECT c.label AS model, c.i AS seq, a.v AS x, b.v AS ps, ng FROM c JOIN e a ON a.vec_id = c.vec_id JOIN e b ON b.vec_id = c.positive", 2), DIM, DIM, _contrast("0.07")) + _weights_sql(DIM, DIM, "label"))
 def train_infonce(spark, sf_dir):
     """An intent for each label from the factory's examples."""
     weights, _ = J.build_intents(emb(spark, sf_dir), "label", "vec_id", options=J.Options(epochs=2, temperature=0.07))
     return _trained(weights, "label")
 
 
-@query()
+@query(_adam(f"{E}, " + _epochs("SELECT label AS model, vec_id AS seq, v AS x, v[1:8] AS t FROM e", 2), 8, DIM, _OFF, "0.05") + _weights_sql(8, DIM, "label"))
 def train_migration(spark, sf_dir):
     """A projection from 64 to 8 dimensions for each label."""
     rows = emb(spark, sf_dir).select("label", F.col("vec_id").alias("seq"), F.col("v").alias("source"), F.slice("v", 1, 8).alias("target"))
     return _trained(J.train_models(rows, J.Regression("source", "target"), J.Options(epochs=2, rate=0.05), "label"), "label")
 
 
-@query()
+@query(_adam(f"{E}, {_TRIPLE.replace('x AS', 'x0 AS', 1)}, " + _epochs(f"SELECT * REPLACE (qd AS x) FROM ({_EX})", 2), 1, 2 * DIM, "[y[1] - score]") + _weights_sql(1, 2 * DIM, "model"))
 def train_cross_encoder(spark, sf_dir):
     x = _examples(emb(spark, sf_dir)).select((F.col("ex") % 10).alias("model"), F.col("ex").alias("seq"), "query", F.col("positive").alias("document"), V.cosine_similarity(F.col("query"), F.col("positive")).alias("score"))
     return _trained(J.train_models(x, J.CrossEncoder(), J.Options(epochs=2)), "model")
 
 
-@query()
+@query(_adam(f"{E}, " + _epochs("SELECT * FROM (" + _NEXT.format(model="f.rate") + ", (SELECT unnest([0.1, 0.05, 0.01, 0.005, 0.001])::DOUBLE AS rate) f)", 1), DIM, DIM, _OFF, "model") + ", d AS (SELECT z.model, list_sum(list_transform(z.b, lambda c, i: pow(list_inner_product(z.w[(i - 1) * 64 + 1 : i * 64], x.x) + c - x.t[i], 2))) AS loss FROM z JOIN x ON x.model = z.model) SELECT model AS rate, round(sum(loss), 6) + 0.0 AS loss FROM d GROUP BY model")
 def learning_rates(spark, sf_dir):
     e = emb(spark, sf_dir)
     rows = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("target")), "vec_id").select(F.col("vec_id").alias("seq"), F.col("v").alias("input"), "target")
     return J.rate_losses(rows, J.Regression(), J.Options(epochs=1)).select("rate", r6(F.col("loss")).alias("loss"))
 
 
-@query()
+_WHITEN = f"""WITH RECURSIVE {E}, x AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM e),
+r AS (SELECT label, CAST(0 AS BIGINT) AS n, list_transform(range(64), lambda k: 0.0::DOUBLE) AS mean, list_transform(range(64), lambda k: CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS w, 1e-6::DOUBLE AS first FROM (SELECT DISTINCT label FROM x)
+UNION ALL SELECT label, n, mean, list_transform(u, lambda c: c / sqrt(list_inner_product(u, u))), 0.95 * first + 0.05 * y * y FROM (
+SELECT *, list_transform(w, lambda c, i: c + 0.05 * (y * rest[i] - y * y * c)) AS u FROM (
+SELECT *, list_inner_product(w, rest) AS y FROM (
+SELECT *, list_transform(v, lambda c, i: c - mean[i]) AS rest FROM (
+SELECT x.label, x.n, x.v, w, first, CASE WHEN x.n = 1 THEN x.v ELSE list_transform(mean, lambda c, i: 0.95 * c + 0.05 * x.v[i]) END AS mean FROM r JOIN x ON x.label = r.label AND x.n = r.n + 1)))))
+SELECT label, n, CAST(i - 1 AS BIGINT) AS pos, round(mean[i], 6) + 0.0 AS mean, round(w[i], 6) + 0.0 AS first_axis, round(first, 6) + 0.0 AS first_value FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC) = 1), range(1, 65) t(i)"""
+
+
+@query(_WHITEN)
 def whitening_fit(spark, sf_dir):
     rows = emb(spark, sf_dir).select("label", F.col("vec_id").alias("seq"), "v")
     fit = J.fit_whitening(rows, DIM, 2, 0.05, "label")
@@ -792,16 +850,21 @@ def scheduler_lr(spark, sf_dir):
     return K.schedule(events, "user_id", "event_id", decay=0.05).select("user_id", "event_id", "step", "chunk", r6(F.col("rate")).alias("rate"))
 
 
-@query()
+_ONLINE = f"""WITH RECURSIVE {_SIGNALS}, {_MARKS}, x AS (SELECT p.idx AS ps, n.idx AS ng, row_number() OVER (ORDER BY concat(p.user_id, '/', p.day), p.idx, n.idx) AS n FROM f p JOIN f n ON n.user_id = p.user_id AND n.day = p.day WHERE p.pos AND n.neg),
+r AS (SELECT CAST(0 AS BIGINT) AS n, 0.0::DOUBLE AS b, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v UNION ALL
+SELECT n, CASE WHEN g IS NULL THEN b ELSE b - greatest(0.0001, 0.01 / (1 + 0.01 * (n - 1))) * (m / (1 - pow(0.9, n))) / (sqrt(v / (1 - pow(0.999, n))) + 1e-8) END, m, v FROM (
+SELECT n, g, b, CASE WHEN g IS NULL THEN m ELSE 0.9 * m + 0.1 * g END AS m, CASE WHEN g IS NULL THEN v ELSE 0.999 * v + 0.001 * g * g END AS v FROM (
+SELECT x.n, b, m, v, CASE WHEN 0.1 + b * ng - b * ps > 0 THEN CAST(ng - ps AS DOUBLE) END AS g FROM r JOIN x ON x.n = r.n + 1 WHERE x.n <= (SELECT count(*) // 5 * 5 FROM x))))
+SELECT n AS steps, round(b, 6) + 0.0 AS bias FROM r ORDER BY n DESC LIMIT 1"""
+
+
+@query(_ONLINE)
 def online_scheduler(spark, sf_dir):
     """The adaptive schedule over all triplets of one bias, in the order of users and days: weights after the last."""
     imps, signals = _feedback(spark, sf_dir)
-    rows = K.triplets(imps, signals).orderBy("imp_id", "pos_idx", "neg_idx").select("anchor", "positive", "negative").toLocalIterator()
     s = K.Scheduler(J.OnlineTrainer(J.Triplet()), decay=0.01)
-    w = J.initial(1, 1)
-    for r in rows:
-        w = s.add(w, [{c: np.array(r[c]) for c in ("anchor", "positive", "negative")}]) or w
-    return spark.range(1).select(F.lit(s.steps).cast("long").alias("steps"), F.lit(float(w.bias[0])).alias("bias"))
+    out = J.train_online(K.triplets(imps, signals), s, J.initial(1, 1), ["imp_id", "pos_idx", "neg_idx"])
+    return out.where("j is null").select("steps", r6(F.col("w")).alias("bias"))
 
 
 @query(f"WITH {E}, m AS (SELECT {matrix_sql(16, 64)} AS w) " + spread_sql(f"SELECT vec_id, {affine_sql('w', 'v')} AS x FROM e, m", 16))
