@@ -355,37 +355,48 @@ class RankOne(Step):
         return Weights(np.eye(n) + self.strength * np.outer(self.direction, self.direction), self.bias)
 
 
+def _int8(x: np.ndarray) -> pa.Array:
+    return _lists(np.clip(np.floor(x * 127.0 + 0.5), -128, 127).astype(np.int8), pa.int8())
+
+
+def _int8_dynamic(x: np.ndarray) -> pa.Array:
+    scale = np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0.0), 1e-8)
+    q = np.clip(np.floor(x * (127.0 / scale) + 0.5), -128, 127).astype(np.int8)
+    return pa.StructArray.from_arrays([_lists(q, pa.int8()), pa.array(scale[:, 0])], names=["q", "scale"])
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    if x.shape[1] % 8:
+        raise ValidationError("dim", "binary encoding needs a dimension that 8 divides")
+    return _lists(np.packbits(x > 0, axis=1).astype(np.int16), pa.int16())
+
+
+#: Final stages by name: the SQL type of the result and a function of a block; ``register_encoding`` adds to them.
+ENCODINGS = {"int8": ("array<tinyint>", _int8), "int8_dynamic": ("struct<q:array<tinyint>,scale:double>", _int8_dynamic), "binary": ("array<smallint>", _binary)}
+
+
+def register_encoding(name: str, sql_type: str, arrays) -> None:
+    """Make a final stage known: ``arrays`` turns a block (rows x dimension) into an Arrow array of ``sql_type``."""
+    ENCODINGS[name] = (sql_type, arrays)
+
+
 @dataclass
 class Encoder:
-    """Final stage: int8, int8_dynamic or binary; ``clip`` first scales rows whose largest value exceeds it."""
+    """Final stage: one of ``ENCODINGS``; ``clip`` first scales rows whose largest value exceeds it."""
 
     encoding: str
     clip: float | None = None
     kind: str = field(default="encoder", init=False)
 
     def __post_init__(self):
-        if self.encoding not in ("int8", "int8_dynamic", "binary"):
+        if self.encoding not in ENCODINGS:
             raise ValidationError("encoding", f"unknown: {self.encoding}")
+        self.sql_type, self._arrays = ENCODINGS[self.encoding]  # bound here, so that it travels to the executors
         if self.clip is not None:
             positive(self.clip, "clip")
 
-    @property
-    def sql_type(self) -> str:
-        return {"int8": "array<tinyint>", "int8_dynamic": "struct<q:array<tinyint>,scale:double>", "binary": "array<smallint>"}[self.encoding]
-
     def arrays(self, x: np.ndarray) -> pa.Array:
-        if self.clip is not None:
-            x = AnomalyGuard(self.clip, "safe").apply(x)
-        n, d = x.shape
-        if self.encoding == "binary":
-            if d % 8:
-                raise ValidationError("dim", "binary encoding needs a dimension that 8 divides")
-            packed = np.packbits(x > 0, axis=1).astype(np.int16)
-            return _lists(packed, pa.int16())
-        scale = np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0.0), 1e-8) if self.encoding == "int8_dynamic" else None
-        q = np.clip(np.floor(x * (127.0 / scale if scale is not None else 127.0) + 0.5), -128, 127).astype(np.int8)
-        lists = _lists(q, pa.int8())
-        return lists if scale is None else pa.StructArray.from_arrays([lists, pa.array(scale[:, 0])], names=["q", "scale"])
+        return self._arrays(x if self.clip is None else AnomalyGuard(self.clip, "safe").apply(x))
 
 
 def _lists(x: np.ndarray, kind: pa.DataType = pa.float64()) -> pa.Array:  # noqa: B008

@@ -69,14 +69,14 @@ class GraphReranker:
             return s0.copy(), s0
         return self.iterate(self.graph(x), self.prepare(s0)), s0
 
-    def rerank(self, candidates: DataFrame, by: str = "q") -> DataFrame:
+    def rerank(self, candidates: DataFrame, by: str = "q", assume_unit: bool = False) -> DataFrame:
         """(by, cand, score, initial_score, rank) of ``candidates`` (by, cand, v, s0): one candidate set is one task, so
-        it is meant to be the top of a search, not a corpus."""
+        it is meant to be the top of a search, not a corpus. ``assume_unit``: the vectors have unit length already."""
         model = self
 
         def one(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("cand", kind="stable")
-            score, first = model.score(None, np.stack(pdf["v"].to_list()), pdf["s0"].to_numpy())
+            score, first = model.score(None, np.stack(pdf["v"].to_list()), pdf["s0"].to_numpy(), assume_unit)
             return pd.DataFrame({by: pdf[by].to_numpy(), "cand": pdf["cand"].to_numpy(), "score": score, "initial_score": first})
 
         kind = candidates.schema[by].dataType.simpleString()

@@ -34,6 +34,12 @@ class Pipeline:
         self.dim = dim
         self.steps: list[B.Step] = []
         self.encoder: B.Encoder | None = None
+        self.metrics: Metrics | None = None
+
+    def measured(self, metrics: Metrics) -> Pipeline:
+        """Runs report to ``metrics`` as long as it is enabled."""
+        self.metrics = metrics
+        return self
 
     def add(self, step: B.Step) -> Pipeline:
         try:
@@ -73,7 +79,10 @@ class Pipeline:
 
     def run(self, df: DataFrame, column: str = "v", output: str | None = None, single: bool = False) -> DataFrame:
         """``df`` with the result; without steps and encoder the input comes back as it is. Works on streams too."""
-        return B.map_vectors(df, self.steps, column, output or column, self.encoder, single)
+        if self.metrics is None or not self.metrics.enabled:
+            return B.map_vectors(df, self.steps, column, output or column, self.encoder, single)
+        steps = self.metrics.timed(df.sparkSession, self.steps)
+        return self.metrics.watch(B.map_vectors(df, steps, column, output or column, self.encoder, single))
 
     def run_and_format(self, df: DataFrame, fmt: str, column: str = "v", output: str = "formatted", **options) -> DataFrame:
         if fmt not in FORMATS:
@@ -116,8 +125,15 @@ class Pipeline:
 
     @classmethod
     def from_json(cls, text: str) -> Pipeline:
+        """From stored state: an object, or the older form, an array of steps whose first tells the dimension."""
         try:
             data = json.loads(text)
+            if isinstance(data, list):
+                if not data:
+                    raise ValidationError("state", "holds no steps")
+                state = data[0]["state"]
+                dim = (json.loads(state) if isinstance(state, str) else state).get("dim_in")
+                data = {"dim": dim, "steps": data}
             out = cls(data["dim"])
             for i, entry in enumerate(data["steps"]):
                 if entry["kind"] not in STEPS:
@@ -152,28 +168,52 @@ class Pipeline:
         return out
 
 
+class _Timed(B.Step):
+    """A step that adds its milliseconds and calls to accumulators."""
+
+    def __init__(self, step: B.Step, milliseconds, calls):
+        self.step, self.kind, self.dim_in, self.dim_out = step, step.kind, step.dim_in, step.dim_out
+        self.milliseconds, self.calls = milliseconds, calls
+
+    def apply(self, x: np.ndarray) -> np.ndarray:
+        began = time.perf_counter()
+        out = self.step.apply(x)
+        self.milliseconds.add((time.perf_counter() - began) * 1000)
+        self.calls.add(1)
+        return out
+
+
 class Metrics:
-    """Rows that runs produced, off until enabled. Counting rides on the job itself."""
+    """Runs, the rows that they produced and the time of their steps, off until enabled. Counting rides on the jobs
+    themselves: rows by an observation, times by accumulators (a task that is run again counts again)."""
 
     def __init__(self):
-        self.enabled, self.observed = False, []
+        self.enabled, self.observed, self.steps = False, [], {}
 
     def enable(self) -> None:
         self.enabled = True
 
+    def timed(self, spark, steps: list[B.Step]) -> list[B.Step]:
+        for s in steps:
+            if s.kind not in self.steps:
+                self.steps[s.kind] = spark.sparkContext.accumulator(0.0), spark.sparkContext.accumulator(0)
+        return [_Timed(s, *self.steps[s.kind]) for s in steps]
+
     def watch(self, df: DataFrame) -> DataFrame:
-        if not self.enabled:
+        if not self.enabled or df.isStreaming:
             return df
         seen = Observation()
         self.observed.append(seen)
         return df.observe(seen, F.count(F.lit(1)).alias("vectors"))
 
     def get(self) -> dict:
-        """Blocks until the watched jobs have run."""
-        return {"runs": len(self.observed), "vectors": sum(o.get["vectors"] for o in self.observed)}
+        """Runs, vectors, and by kind of step the blocks and mean milliseconds of one; blocks until the watched jobs have
+        run."""
+        vectors = sum(o.get["vectors"] for o in self.observed)
+        return {"runs": len(self.observed), "vectors": vectors, "steps": {k: {"blocks": n.value, "mean_ms": ms.value / max(1, n.value)} for k, (ms, n) in self.steps.items()}}
 
     def reset(self) -> None:
-        self.observed = []
+        self.observed, self.steps = [], {}
 
 
 class Tracer:
