@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectorloom.functions import vectors as V
 from vectorloom.operators import metrics as M
 from vectorloom.operators import rerank as R
 from vectorloom.operators import search as S
@@ -71,6 +72,26 @@ def test_positive_rank(spark):
     assert df.select(M.positive_rank(F.col("query"), F.col("positive"), F.col("negatives"))).first()[0] == 2
 
 
+def test_query_blocks_agree_with_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-50, 50, 16).tolist()) for i in range(120)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "id long, v array<double>").repartition(3)
+    q = df.where("id < 23").withColumnRenamed("id", "q")
+    packed = df.withColumn("v", V.quantize_binary(F.col("v")))
+    cases = [(df, q, m) for m in ("cosine", "ip", "l2", "int8")] + [(packed, packed.where("id < 23").withColumnRenamed("id", "q"), "binary")]
+    for corpus, queries, metric in cases:
+        whole = sorted(map(tuple, S.top_k(queries, corpus, 4, metric).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(S, "QUERY_BLOCK", 5)
+            assert sorted(map(tuple, S.top_k(queries, corpus, 4, metric).collect())) == whole
+        assert len(whole) == 92
+    for metric, encoding in (("int8", "int8"), ("binary", "binary")):
+        corpus, queries = (df.withColumn("v", F.col("v").cast("array<tinyint>")), q.withColumn("v", F.col("v").cast("array<tinyint>"))) if metric == "int8" else cases[-1][:2]
+        want = S.ranked(S.all_scores(queries, corpus, encoding), 4)
+        got = S.top_k(queries, corpus, 4, metric)
+        assert sorted((r.q, r.id, round(r.score, 9)) for r in got.collect()) == sorted((r.q, r.id, round(r.score, 9)) for r in want.collect())
+
+
 def test_max_sim(spark):
     rng = np.random.default_rng(4)
     q, docs = rng.standard_normal((2, 4)), [rng.standard_normal((k, 4)) for k in (1, 3, 5)]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import struct
-import uuid
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from vectorloom.operators import rerank as R
 from vectorloom.operators import weights as W
 from vectorloom.plans.pipeline import Metrics, Pipeline
 from vectorloom.queries import DIM, E, Q, emb, query, r6, spread, spread_sql
+from vectorloom.session import shared_folder
 from vectorloom.sources import formats
 
 MAP = "SELECT vec_id, {value} AS x FROM e, m"
@@ -29,11 +29,6 @@ def _affine(shift: int) -> str:
     return f"WITH {E}, m AS (SELECT {C.matrix_sql(64, 64, shift)} AS w) " + spread_sql(MAP.format(value=C.affine_sql("w", "v", shift)))
 
 
-def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or C._own_dir()
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def _cells(spark, weights: B.Weights):
     """A model as rows (i, j, w), the bias with j -1."""
     rows, cols = weights.matrix.shape
@@ -196,7 +191,7 @@ def formatted_run(spark, sf_dir):
 @query(f"WITH {E}, {_QUARTERS} SELECT f.file, CAST(vec_id AS VARCHAR) AS id, CAST(t.i - 1 AS BIGINT) AS pos, round(v[t.i], 6) + 0.0 AS value FROM k, range(1, 65) t(i), (VALUES ('csv'), ('jsonl')) f(file)")
 def corpus_files(spark, sf_dir):
     """A corpus written as JSON lines and as CSV, and read back."""
-    root, k = _folder(spark), _quarters(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id"), F.col("v").alias("vector"))
+    root, k = shared_folder(spark, "files"), _quarters(spark, sf_dir).select(F.col("vec_id").cast("string").alias("id"), F.col("v").alias("vector"))
     k.write.json(f"{root}/corpus.jsonl")
     k.select("id", F.to_json("vector").alias("vector")).write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{root}/corpus.csv")
     parts = [formats.read_corpus(spark, f"{root}/corpus.{kind}").withColumn("file", F.lit(kind)) for kind in ("jsonl", "csv")]
@@ -206,7 +201,7 @@ def corpus_files(spark, sf_dir):
 @query(f"WITH {E} SELECT f.file, round(sum(a.v[1]), 4) + 0.0 AS first_sum, count(*) AS queries, CAST(sum(CASE WHEN a.vec_id % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS expected FROM (SELECT vec_id, list_transform(v, lambda x: round(x * 8) / 4 + 0.0) AS v FROM e) a, (VALUES ('csv'), ('jsonl')) f(file) GROUP BY f.file")
 def dataset_files(spark, sf_dir):
     """Evaluation sets written as JSON lines and as CSV, and read back: queries and the documents they expect."""
-    root = _folder(spark)
+    root = shared_folder(spark, "files")
     one = F.col("vec_id").cast("string")
     k = _quarters(spark, sf_dir).select(F.col("v").alias("queryVector"), F.when(F.col("vec_id") % 2 == 0, F.array(one, F.lit("x"))).otherwise(F.array(one)).alias("expectedDocIds"))
     k.write.json(f"{root}/set.jsonl")

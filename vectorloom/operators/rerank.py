@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.errors import DimensionError, ValidationError, positive, positive_int
 from vectorloom.functions import vectors as V
 from vectorloom.operators.blocks import unit_rows
-from vectorloom.operators.search import with_queries
+from vectorloom.operators.search import in_query_blocks, top_rows
 
 
 def tokens(df, column: str, dim: int):
@@ -28,13 +31,37 @@ def max_sim(query_tokens, doc_tokens):
 
 
 def max_sim_rank(queries: DataFrame, docs: DataFrame, dim: int, k: int | None = None) -> DataFrame:
-    """(q, id, score, rank) of ``docs`` (id, v flat tokens) for the stated ``queries`` (q, v flat tokens)."""
-    left = queries.select("q", tokens(queries, "v", dim).alias("_a"))
-    right = docs.select("id", tokens(docs, "v", dim).alias("_b"))
-    scores = with_queries(right, left).select("q", "id", max_sim(F.col("_a"), F.col("_b")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id"))
-    out = scores.withColumn("rank", rank.cast("long"))
-    return out if k is None else out.where(F.col("rank") <= k)
+    """(q, id, score, rank) of ``docs`` (id, v flat tokens) for the stated ``queries`` (q, v flat tokens), the k best of
+    each query where given. An Arrow batch of documents meets a block of queries in one matrix product of their tokens."""
+    positive_int(dim, "dim")
+
+    def flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens below one another, and where each row's begin (one entry more)."""
+        sizes = np.array([len(r) for r in rows])
+        if (sizes % dim).any():
+            raise ValidationError("tokens", "the length is no multiple of the dimension")
+        return np.concatenate([np.asarray(r, dtype=np.float64) for r in rows] or [np.empty(0)]).reshape(-1, dim), np.concatenate(([0], np.cumsum(sizes // dim)))
+
+    def over(block: list) -> DataFrame:
+        names = np.array([r[0] for r in block], dtype=np.int64)
+        left, starts = flat([r[1] for r in block])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(batch.column(1).is_valid())
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    right, begins = flat([v.values.to_numpy(zero_copy_only=False) for v in part.column(1)])
+                    some, whole = np.flatnonzero(np.diff(begins)), np.flatnonzero(np.diff(starts))
+                    score = np.zeros((len(names), part.num_rows))
+                    if len(some) and len(whole):
+                        best = np.maximum.reduceat(left @ right.T, begins[:-1][some], axis=1)  # a query token's best in each document
+                        score[np.ix_(whole, some)] = np.add.reduceat(best, starts[:-1][whole], axis=0)
+                    yield top_rows(score, part.column(0).to_numpy(zero_copy_only=False), names, k)
+
+        return docs.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "q long, id long, score double")
+
+    return in_query_blocks(queries, docs, over, k)
 
 
 class GraphReranker:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from vectorloom.errors import ValidationError, positive_int
 from vectorloom.functions import vectors as V
 from vectorloom.operators.blocks import block_of, unit_rows
+from vectorloom.session import shared_folder
 
 #: Queries that go over the corpus in one pass.
 QUERY_BLOCK = 4096
@@ -44,52 +46,88 @@ def all_scores(queries: DataFrame, corpus: DataFrame, encoding: str = "float") -
     return pairs.select("q", "id", V.vector_score(F.col("_a"), F.col("_b"), encoding).alias("score"))
 
 
+METRICS = ("cosine", "ip", "l2", "int8", "binary")
+
+
+def _ready(x: np.ndarray, metric: str) -> np.ndarray:
+    """A block in the form that one matrix product compares."""
+    if metric == "binary":  # bytes to signs
+        bits = np.unpackbits(x.astype(np.uint8), axis=1)
+        return bits * 2.0 - 1.0
+    return unit_rows(x) if metric == "cosine" else x
+
+
+def _scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    product = a @ b.T
+    if metric == "l2":
+        return -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * product, 0))
+    if metric == "int8":  # integers below 2^53 throughout, so the products are exact
+        scale = np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)[None])
+        return np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
+    return product / a.shape[1] if metric == "binary" else product
+
+
+def top_rows(score: np.ndarray, ids: np.ndarray, names: np.ndarray, k: int | None) -> pa.RecordBatch:
+    """(q, id, score) of the k best columns of each row."""
+    if k is None:
+        at, q = np.tile(np.arange(len(ids)), len(names)), np.repeat(np.arange(len(names)), len(ids))
+    else:
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k] if len(ids) <= 4 * k else _best(score, ids, k)
+        at, q = order.reshape(-1), np.repeat(np.arange(len(names)), order.shape[1])
+    return pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(ids[at], pa.int64()), pa.array(score[q, at])], names=["q", "id", "score"])
+
+
+def in_query_blocks(queries: DataFrame, corpus: DataFrame, over: Callable[[list], DataFrame], k: int | None) -> DataFrame:
+    """The ranked union of ``over(block)`` for blocks of at most ``QUERY_BLOCK`` rows (q, v) of ``queries``.
+
+    One block is a lazy plan. More of them are searched one after another, each result pruned to k rows a query and
+    written to the shared folder, so that neither the driver nor the plan grows with the number of queries. A block of
+    that size costs far more in products than in reading the corpus again."""
+    rows = queries.where("v is not null").select("q", "v").toLocalIterator()
+    folder, block = None, list(islice(rows, QUERY_BLOCK))
+    first = over(block) if block else None
+    while len(block) == QUERY_BLOCK:
+        following = list(islice(rows, QUERY_BLOCK))
+        if folder is None and not following:
+            break
+        folder = folder or shared_folder(corpus.sparkSession, "search")
+        if block:
+            ranked(over(block), k).drop("rank").write.mode("append").parquet(folder)
+        block = following
+    if folder:
+        if block:
+            ranked(over(block), k).drop("rank").write.mode("append").parquet(folder)
+        return ranked(corpus.sparkSession.read.schema("q long, id long, score double").parquet(folder), k)
+    return ranked(first if first is not None else corpus.select(F.lit(None).cast("long").alias("q"), F.col("id").cast("long").alias("id"), F.lit(0.0).alias("score")).where("false"), k)
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
     """(q, id, score, rank): the ``k`` best corpus rows (id, v) of each query (q, v); ties go to the smaller id.
 
     Queries go over the corpus in blocks of ``QUERY_BLOCK``. Each Arrow batch of the corpus keeps its own k best a
-    query, so what is shuffled is k rows a query and batch, whatever the corpus. ``metric``: cosine, ip or l2 (score
-    is then the negative distance). Null vectors are left out; zero vectors have cosine 0.
+    query, so what is shuffled is k rows a query and batch, whatever the corpus. ``metric``: cosine, ip, l2 (score is
+    then the negative distance), int8 (cosine of integer vectors) or binary (1 - 2 h / bits of packed bytes). Null
+    vectors are left out; zero vectors have cosine 0.
     """
     positive_int(k, "k")
-    if metric not in ("cosine", "ip", "l2"):
+    if metric not in METRICS:
         raise ValidationError("metric", f"unknown: {metric}")
-    rows = queries.where("v is not null").select("q", "v").toLocalIterator()
-    best: DataFrame | None = None
-    block: list = []
 
     def over(block: list) -> DataFrame:
-        names = [r[0] for r in block]
-        x = np.array([list(r[1]) for r in block], dtype=np.float64)
-        a = unit_rows(x) if metric == "cosine" else x
+        names = np.array([r[0] for r in block], dtype=np.int64)
+        raw = np.array([list(r[1]) for r in block], dtype=np.float64)
+        a = _ready(raw, metric)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 batch = batch.filter(batch.column(1).is_valid())
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                b = block_of(batch.column(1), a.shape[1])
-                if metric == "l2":
-                    score = -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0))
-                else:
-                    score = a @ (unit_rows(b) if metric == "cosine" else b).T
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k] if len(ids) <= 4 * k else _best(score, ids, k)
-                q = np.repeat(np.arange(len(names)), order.shape[1])
-                at = order.reshape(-1)
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.int64()), pa.array(ids[at], pa.int64()), pa.array(score[q, at])], names=["q", "id", "score"])
+                if batch.num_rows:
+                    b = _ready(block_of(batch.column(1), raw.shape[1]), metric)
+                    yield top_rows(_scores(a, b, metric), batch.column(0).to_numpy(zero_copy_only=False), names, k)
 
         return corpus.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "q long, id long, score double")
 
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            part = over(block)
-            best, block = part if best is None else best.unionAll(part), []
-    if block or best is None:
-        part = over(block) if block else corpus.select(F.lit(None).cast("long").alias("q"), F.col("id").cast("long").alias("id"), F.lit(0.0).alias("score")).where("false")
-        best = part if best is None else best.unionAll(part)
-    return ranked(best, k)
+    return in_query_blocks(queries, corpus, over, k)
 
 
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

@@ -19,6 +19,7 @@ from vectorloom.operators import rerank as R
 from vectorloom.operators import search as S
 from vectorloom.operators import weights as W
 from vectorloom.plans.pipeline import Pipeline
+from vectorloom.session import shared_folder
 from vectorloom.sources import formats
 from vectorloom.streaming.streams import run_stream, to_table
 
@@ -497,6 +498,13 @@ def maxsim_rank(spark, sf_dir):
     return R.max_sim_rank(query_set(e), e.select(F.col("vec_id").alias("id"), "v"), 16).select("q", "id", r6(F.col("score")).alias("score"), "rank")
 
 
+@query(ORACLES["maxsim_rank"].replace(_ranked("SELECT q, id, sum(m) AS score FROM t GROUP BY q, id", None), _ranked("SELECT q, id, sum(m) AS score FROM t GROUP BY q, id", 10)))
+def maxsim_topk(spark, sf_dir):
+    """The ten best of each query; every batch of documents keeps ten."""
+    e = emb(spark, sf_dir)
+    return R.max_sim_rank(query_set(e), e.select(F.col("vec_id").alias("id"), "v"), 16, 10).select("q", "id", r6(F.col("score")).alias("score"), "rank")
+
+
 def _candidates(spark, sf_dir) -> DataFrame:
     e = emb(spark, sf_dir)
     found = S.top_k(query_set(e), e.select(F.col("vec_id").alias("id"), "v"), 20)
@@ -576,7 +584,7 @@ def quantization_recall(spark, sf_dir):
 
     def of(column, encoding, name):
         k = e.select("vec_id", column.alias("v"))
-        found = S.ranked(S.all_scores(query_set(k), k.select(F.col("vec_id").alias("id"), "v"), encoding), 10)
+        found = S.top_k(query_set(k), k.select(F.col("vec_id").alias("id"), "v"), 10, encoding)
         return M.overlap_recall(truth, found, 10).select("q", r6(F.col("recall")).alias(name))
 
     return of(V.quantize_int8(F.col("v")), "int8", "int8").join(of(V.quantize_binary(F.col("v")), "binary", "bits"), "q")
@@ -870,10 +878,7 @@ def online_scheduler(spark, sf_dir):
 @query(f"WITH {E}, m AS (SELECT {matrix_sql(16, 64)} AS w) " + spread_sql(f"SELECT vec_id, {affine_sql('w', 'v')} AS x FROM e, m", 16))
 def stream_pipeline(spark, sf_dir):
     """The projection as a stream over the same files, written once and read back."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "stream")
     batch = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     files = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
     # a stream reads folders; a table that is one file is found by its name in the folder that holds it
@@ -885,11 +890,5 @@ def stream_pipeline(spark, sf_dir):
     return spread(spark.read.schema("vec_id long, v array<double>").parquet(f"{root}/out"), "vec_id")
 
 
-def _own_dir() -> str:
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="vectorloom-stream-")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate_vanilla_vs_warped(spark, sf_dir)
