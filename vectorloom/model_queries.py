@@ -298,3 +298,13 @@ def custom_encoding(spark, sf_dir):
     """A final stage of one's own: three levels."""
     B.register_encoding("ternary", "array<tinyint>", lambda x: B._lists(np.where(np.abs(x) > 0.1, np.sign(x), 0).astype(np.int8), B.pa.int8()))
     return spread(Pipeline(DIM).encode("ternary").run(emb(spark, sf_dir)), "vec_id")
+
+
+@query(C.ORACLES["pipeline_run"])
+def packed_vectors(spark, sf_dir):
+    """The intent, projection and int8 encoding on packed vectors: binary in, one byte a component out."""
+    e = B.pack_vectors(emb(spark, sf_dir), dtype="<f8")
+    out = B.map_vectors(e, _STORED.steps, encoder=B.Encoder("int8"), packed="<f8")
+    byte = lambda i: F.conv(F.substring(F.hex("v"), i * 2 + 1, 2), 16, 10).cast("int")
+    signed = F.array(*(F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i)).cast("double") for i in range(16)))
+    return spread(out.select("vec_id", signed.alias("v")), "vec_id")

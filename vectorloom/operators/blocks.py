@@ -6,6 +6,7 @@ data. Weights travel with the function: their size is that of a model and does n
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -414,30 +415,66 @@ def block_of(column: pa.Array, dim: int | None) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), int(lengths[0]))
 
 
-def map_vectors(df: DataFrame, steps: list[Step], column: str = "v", output: str = "v", encoder: Encoder | None = None, single: bool = False) -> DataFrame:
+def block_of_bytes(column: pa.Array, dtype: str, dim: int | None) -> np.ndarray:
+    """Rows of a binary column without nulls, each a packed vector, as a float64 matrix; lengths must agree."""
+    if len(column) == 0:
+        return np.empty((0, dim or 0))
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    size = np.dtype(dtype).itemsize
+    width = (dim or int(offsets[1] - offsets[0]) // size) * size
+    lengths = np.diff(offsets)
+    if (lengths != width).any():
+        raise DimensionError(width // size, int(lengths[lengths != width][0]) // size, "vector")
+    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if width else np.empty(0, dtype=np.uint8)
+    return flat.view(dtype).reshape(len(column), -1).astype(np.float64)
+
+
+def packed_rows(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    x = np.ascontiguousarray(x)
+    width = x.shape[1] * x.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, (len(x) + 1) * width, width, dtype=np.int32) if width else np.zeros(len(x) + 1, dtype=np.int32)), pa.py_buffer(x)])
+
+
+def map_vectors(df: DataFrame, steps: list[Step], column: str = "v", output: str = "v", encoder: Encoder | None = None, single: bool = False, packed: str | None = None) -> DataFrame:
     """``df`` with ``output`` set to the steps' result on ``column``; other columns pass. A null vector stays null.
 
-    ``single`` rounds to single precision between steps.
+    ``single`` rounds to single precision between steps. ``packed`` (``<f4`` or ``<f8``): vectors are binary columns of
+    that type, in and out, and encoders give packed bytes; such columns cross to Python as they are, where an array's
+    elements are copied one by one.
     """
     if not steps and encoder is None:
         return df if output == column else df.withColumn(output, df[column])
     dim = next((s.dim_in for s in steps if s.dim_in is not None), None) if steps and steps[0].dim_in is not None else None
     kind = encoder.sql_type if encoder else "array<double>"
+    if packed:
+        kind = re.sub(r"array<\w+>", "binary", kind)
     kept = [f for f in df.schema.fields if f.name != output]
     schema = T.StructType([*kept, T.StructField(output, T._parse_datatype_string(kind), True)])
     names = [f.name for f in kept]
 
+    def pack(column: pa.Array) -> pa.Array:
+        if pa.types.is_struct(column.type):
+            return pa.StructArray.from_arrays([pack(column.field(i)) if pa.types.is_list(f.type) else column.field(i) for i, f in enumerate(column.type)], names=[f.name for f in column.type])
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        flat = flat.astype(np.uint8) if flat.dtype == np.int16 else flat  # bits
+        return packed_rows(flat.reshape(len(column), -1))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source = batch.column(batch.schema.get_field_index(column))
-            valid = np.flatnonzero(~source.is_null().to_numpy(zero_copy_only=False))
-            x = block_of(source.drop_null() if len(valid) < len(source) else source, dim)
+            valid = np.flatnonzero(~source.is_null().to_numpy(zero_copy_only=False)) if source.null_count else np.arange(len(source))
+            present = source.drop_null() if len(valid) < len(source) else source
+            x = block_of_bytes(present, packed, dim) if packed else block_of(present, dim)
             if len(valid):
                 for step in steps:
                     x = step.apply(x)
                     if single:
                         x = x.astype(np.float32).astype(np.float64)
-            out = encoder.arrays(x) if encoder else _lists(x)
+            if packed:
+                out = pack(encoder.arrays(x)) if encoder else packed_rows(x.astype(packed))
+            else:
+                out = encoder.arrays(x) if encoder else _lists(x)
             if len(valid) < len(source):
                 take = np.full(len(source), -1)
                 take[valid] = np.arange(len(valid))
@@ -447,6 +484,20 @@ def map_vectors(df: DataFrame, steps: list[Step], column: str = "v", output: str
     return df.mapInArrow(run, schema)
 
 
+def pack_vectors(df: DataFrame, column: str = "v", dtype: str = "<f4") -> DataFrame:
+    """``df`` with the array column as packed binary, once, for the packed form of later passes."""
+    fields = [T.StructField(f.name, T.BinaryType() if f.name == column else f.dataType, True) for f in df.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(column)
+            own = batch.column(at)
+            rows = [None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(dtype).tobytes() for v in own]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()) if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
 def check_dims(steps: list[Step], dim: int | None) -> int | None:
     for i, step in enumerate(steps):
         if step.dim_in is not None and dim is not None and step.dim_in != dim:
