@@ -85,6 +85,9 @@ def test_query_blocks_agree_with_one(spark, monkeypatch):
             m.setattr(S, "QUERY_BLOCK", 5)
             assert sorted(map(tuple, S.top_k(queries, corpus, 4, metric).collect())) == whole
         assert len(whole) == 92
+    with monkeypatch.context() as m:
+        m.setattr(S, "QUERY_BLOCK", 5)
+        assert sorted(map(tuple, S.all_scores(q, df).select("q", "id").collect())) == [(a, b) for a in range(23) for b in range(120)]
     for metric, encoding in (("int8", "int8"), ("binary", "binary")):
         corpus, queries = (df.withColumn("v", F.col("v").cast("array<tinyint>")), q.withColumn("v", F.col("v").cast("array<tinyint>"))) if metric == "int8" else cases[-1][:2]
         want = S.ranked(S.all_scores(queries, corpus, encoding), 4)

@@ -27,17 +27,17 @@ def ranked(scores: DataFrame, k: int | None, by: str = "q", order: tuple[Column,
 
 
 def with_queries(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row of ``corpus`` beside every row of the stated query set ``queries`` (column q), in blocks: the set is
-    counted, and where it is larger than ``QUERY_BLOCK`` its shares by hash are broadcast one after another, so that
-    no broadcast grows with the data."""
+    """Every row of ``corpus`` beside every row of the stated query set ``queries`` (column q). A set of up to
+    ``QUERY_BLOCK`` rows is counted and broadcast. The shares by hash of a larger one are broadcast one after another and
+    the pairs written to the shared folder, so that neither a broadcast nor the plan grows with the data."""
     blocks = -(-queries.count() // QUERY_BLOCK)
     if blocks <= 1:
         return corpus.crossJoin(F.broadcast(queries))
-    parts = [corpus.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k))) for k in range(blocks)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    folder = shared_folder(corpus.sparkSession, "pairs")
+    for k in range(blocks):
+        pairs = corpus.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)))
+        pairs.write.mode("append").parquet(folder)
+    return corpus.sparkSession.read.schema(pairs.schema).parquet(folder)
 
 
 def all_scores(queries: DataFrame, corpus: DataFrame, encoding: str = "float") -> DataFrame:
