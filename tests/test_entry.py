@@ -18,7 +18,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["normalize", "intent_auto_blended", "search_topk", "rrf", "multipath_rerank", "quantize_binary", "feedback_triplets", "factory_examples"])
+@pytest.mark.parametrize("name", ["normalize", "intent_auto_blended", "search_topk", "rrf", "multipath_rerank", "quantize_binary", "feedback_triplets", "factory_examples", "train_migration", "train_stream", "whitening_fit", "online_scheduler", "maxsim_topk", "quantization_recall", "format_float", "corpus_files", "packed_vectors", "pipeline_stored_as_array", "pipeline_metrics", "custom_encoding", "federated_round"])
 def test_query_equals_oracle(spark, name):
     df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)

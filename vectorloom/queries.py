@@ -99,7 +99,6 @@ def axes(k: int = 2) -> np.ndarray:
 
 
 AXES = ", ".join(f"(SELECT {UNIT.format(x='w')} FROM (SELECT list_transform(range(64), lambda i: CAST((i * 5 + {c} * 3) % 7 - 3 AS DOUBLE)) AS w)) AS w{c}" for c in range(2))
-MEAN_SQL = "list_transform(range(64), lambda i: CAST(i % 5 - 2 AS DOUBLE) * 0.1)"
 
 
 def unit_centroid(e: DataFrame, label: int = 0) -> np.ndarray:
