@@ -38,18 +38,18 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     import zlib
 
-    used = L.training_rows(df)
+    used = [tuple(r) for r in L.training_sample(df).collect()]
     assert sorted(used) == sorted((t, g) for i, t, g in rows if zlib.crc32(str(i).encode()) % 4 != 2)
-    assert len(L.training_rows(df, per_lang=10)) == 30
+    assert L.training_sample(df, per_lang=10).count() == 30
 
 
 def test_sample_is_bounded_whatever_the_number_of_languages(spark, monkeypatch):
     monkeypatch.setattr(L, "MOST_ROWS", 60)
     monkeypatch.setattr(L, "MOST_LANGS", 20)
     df = spark.createDataFrame([(i, f"text number {i}", f"g{i % 50}" if i % 3 else "main") for i in range(900)], "doc_id long, text string, lang string")
-    used = L.training_rows(df)
+    used = [tuple(r) for r in L.training_sample(df).collect()]
     assert len({g for _, g in used}) == 20 and "main" in {g for _, g in used} and len(used) <= 60
-    assert L.training_rows(df.limit(0)) == []
+    assert L.training_sample(df.limit(0)).count() == 0
 
 
 def test_letters_are_unicode_letters(spark):

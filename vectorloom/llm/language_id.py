@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,8 +163,8 @@ def is_held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(4)) == 2
 
 
-def training_rows(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", scratch: Scratch | None = None) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows outside the held-out quarter: of each of the ``MOST_LANGS`` most frequent
+def training_sample(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", scratch: Scratch | None = None) -> DataFrame:
+    """(text, lang): a bounded sample of labelled rows outside the held-out quarter: of each of the ``MOST_LANGS`` most frequent
     languages the ``per_lang`` rows with the smallest hash among texts of 1 to ``max_bytes`` bytes, fewer where that
     would be more than ``MOST_ROWS`` in all (one a language at least). One scan counts, another writes the sample."""
     scratch = scratch or Scratch(docs.sparkSession, "language")
@@ -171,13 +172,24 @@ def training_rows(docs: DataFrame, per_lang: int = PER_LANG, max_bytes: int = MO
     usable = usable.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(1 << 30)).alias("hash"), F.col(id_col).alias("id"))
     sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
     if not sizes:
-        return []
+        return usable.select("text", "lang").where("false")
     per_lang = max(1, min(per_lang, MOST_ROWS // len(sizes)))
     # twice the share of a language by hash, so that little is left to rank
     shares = docs.sparkSession.createDataFrame([(r[0], float(2 * per_lang << 30) / r[1]) for r in sizes], "lang string, share double")
     taken = scratch.keep(usable.join(F.broadcast(shares), "lang").where("hash < share").drop("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id", "text"))
-    return [(r[0], r[1]) for r in taken.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("text", "lang").collect()]
+    return taken.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("text", "lang")
+
+
+def train(sample: DataFrame) -> Model:
+    """``fit`` on all rows of a bounded sample (text, lang), in one task, so that only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    found = sample.select("text", "lang").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else fit([])  # an empty plan has no task
 
 
 def _map_predict(model: Model, schema: pa.Schema, id_at: int, text_at: int):
@@ -200,13 +212,13 @@ PREDICTED = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred
 def language_id(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The language of every whole text of ``docs``.
 
-    Without a ``model``, one is trained on ``training_rows``. Returns (id_col, held_out boolean, lang_pred string, score
+    Without a ``model``, one is trained on ``training_sample``. Returns (id_col, held_out boolean, lang_pred string, score
     double, rejected boolean). lang_pred is a learned language, or ``und`` with score 0 if the text is null or has no
     letter; score is the calibrated probability; rejected is true for ``und`` and below the calibrated threshold. Only
     the text enters a prediction. Rows with a null id have held_out null and are predicted all the same; repeated
     rows give repeated rows; an empty table gives an empty result; other columns are ignored.
     """
-    model = model or fit(training_rows(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
+    model = model or train(training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), is_held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_map_predict(model, PREDICTED, 0, 2), "id long, held_out boolean, lang_pred string, score double, rejected boolean")
     return out.withColumnRenamed("id", id_col)
@@ -216,7 +228,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, text_col: str =
     """The rows of ``docs`` whose language is identified, with all their columns: not ``und`` and not below the
     calibrated threshold. Null texts and texts without a letter go; ids are not looked at; repeated rows stay or go
     each; an empty table gives an empty one."""
-    model = model or fit(training_rows(docs, text_col=text_col))
+    model = model or train(training_sample(docs, text_col=text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = max(100_000, 4_000_000 // len(model.langs))
