@@ -95,6 +95,34 @@ def test_query_blocks_agree_with_one(spark, monkeypatch):
         assert sorted((r.q, r.id, round(r.score, 9)) for r in got.collect()) == sorted((r.q, r.id, round(r.score, 9)) for r in want.collect())
 
 
+def _written(monkeypatch, *modules):
+    """What is asked of the shared folder from now on."""
+    asked = []
+    for module in modules:
+        monkeypatch.setattr(module, "shared_folder", lambda *a: asked.append(a) or "/nowhere")
+    return asked
+
+
+def test_pairs_of_large_query_sets_are_not_written(spark, monkeypatch):
+    """More queries than one block: every pair, in a lazy plan without a table of pairs."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-9, 9, (90, 8)).astype(float)
+    x[4] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None)], "id long, v array<double>").repartition(3)
+    q = df.where("id < 31 or id = 90").withColumnRenamed("id", "q")
+    for name, value in {"QUERY_BLOCK": 7, "QUERY_ROWS": 7, "CORPUS_ROWS": 20, "PAIRS": 25}.items():
+        monkeypatch.setattr(S, name, value, raising=False)
+    asked = _written(monkeypatch, S)
+    pairs = S.with_queries(df, q.withColumnRenamed("v", "a")).select("q", "id")
+    assert sorted(map(tuple, pairs.collect())) == [(a, b) for a in [*range(31), 90] for b in range(91)]
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    for encoding in ("float", "int8"):
+        got = {(r.q, r.id): (r.score, r.product) for r in S.all_scores(q, df, encoding, product=True).collect()}
+        assert len(got) == 32 * 91 and all(got[a, b] == (None, None) for a, b in got if 90 in (a, b))
+        assert all(got[a, b] == (pytest.approx(u[a] @ u[b], abs=1e-12), x[a] @ x[b]) for a in range(31) for b in range(90))
+    assert not asked
+
+
 def test_max_sim(spark):
     rng = np.random.default_rng(4)
     q, docs = rng.standard_normal((2, 4)), [rng.standard_normal((k, 4)) for k in (1, 3, 5)]

@@ -17,6 +17,10 @@ from vectorloom.session import shared_folder
 
 #: Queries that go over the corpus in one pass.
 QUERY_BLOCK = 4096
+#: Queries and corpus rows that meet in one task where all pairs are asked for; pairs of an Arrow batch.
+QUERY_ROWS, CORPUS_ROWS, PAIRS = 256, 4096, 200_000
+#: Queries and corpus rows that meet in one task where pairs are made by expressions.
+QUERY_ROWS, CORPUS_ROWS = 256, 4096
 
 
 def ranked(scores: DataFrame, k: int | None, by: str = "q", order: tuple[Column, ...] | None = None, rank: str = "rank") -> DataFrame:
@@ -27,23 +31,79 @@ def ranked(scores: DataFrame, k: int | None, by: str = "q", order: tuple[Column,
 
 
 def with_queries(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row of ``corpus`` beside every row of the stated query set ``queries`` (column q). A set of up to
-    ``QUERY_BLOCK`` rows is counted and broadcast. The shares by hash of a larger one are broadcast one after another and
-    the pairs written to the shared folder, so that neither a broadcast nor the plan grows with the data."""
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    """Every row of ``corpus`` beside every row of the stated query set ``queries`` (column q): a lazy plan that writes no
+    pair. A set of up to ``QUERY_ROWS`` rows is broadcast; a larger one is a Cartesian product of partitions, whose tasks
+    hold that many queries and read their share of the corpus again. What is shuffled is each table once, and a task makes
+    about ``QUERY_ROWS * CORPUS_ROWS`` pairs, so that sorting them needs no disk either."""
+    blocks, parts = -(-queries.count() // QUERY_ROWS), -(-corpus.count() // CORPUS_ROWS)
+    corpus = corpus.repartition(parts) if parts > 1 else corpus
     if blocks <= 1:
         return corpus.crossJoin(F.broadcast(queries))
-    folder = shared_folder(corpus.sparkSession, "pairs")
-    for k in range(blocks):
-        pairs = corpus.crossJoin(F.broadcast(queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k)))
-        pairs.write.mode("append").parquet(folder)
-    return corpus.sparkSession.read.schema(pairs.schema).parquet(folder)
-
+    return corpus.crossJoin(queries.repartition(blocks).hint("shuffle_replicate_nl"))
+
+
+def beside_blocks(corpus: DataFrame, queries: DataFrame, rows: int) -> DataFrame:
+    """(block, id, v, own): the rows (id, v) of ``corpus`` beside blocks of about ``rows`` rows (q, v) of ``queries``, as a
+    Cartesian product of partitions, so that nothing is broadcast or written. ``own``, the block's rows, stands only beside
+    the first row of each partition of the corpus (see ``meetings``)."""
+    queries = queries.select(F.col("q").cast("long").alias("q"), F.col("v").cast("array<double>").alias("v"))
+    blocks = max(1, -(-queries.count() // rows))
+    packed = queries.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("own")).repartitionByRange(blocks, "block")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # its lower bits number a partition's rows
+    left = corpus.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), first.alias("first"))
+    return left.crossJoin(packed.hint("shuffle_replicate_nl")).select("block", "id", "v", F.when(F.col("first"), F.col("own")).alias("own"))
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.ListArray, pa.RecordBatch]]:
+    """(block, q, their vectors, rows of the corpus) for the batches of ``beside_blocks``."""
+    held: dict[int, tuple[np.ndarray, pa.ListArray]] = {}
+    for batch in batches:
+        block = batch.column(0).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist():
+            names, vectors = batch.column(3).slice(k, 1).flatten().flatten()
+            held[int(block[k])] = names.to_numpy(zero_copy_only=False), vectors
+        rows = batch.select([1, 2])
+        for b in np.unique(block).tolist():
+            yield b, *held[b], rows if (block == b).all() else rows.filter(pa.array(block == b))
+
+
+def _matrix(column: pa.ListArray, dim: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column, zeros for null, and which are not null."""
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    known = block_of(column.drop_null(), dim) if there.any() else np.zeros((0, dim or 0))
+    out = np.zeros((len(column), known.shape[1]))
+    out[there] = known
+    return out, there
+
+
+def all_scores(queries: DataFrame, corpus: DataFrame, encoding: str = "float", product: bool = False) -> DataFrame:
+    """(q, id, score) of every pair of ``queries`` (q, v) and ``corpus`` (id, v), and their inner ``product`` where asked for.
+    Blocks of ``QUERY_ROWS`` queries meet partitions of ``CORPUS_ROWS`` rows in matrix products; no pair is written or
+    shuffled. ``encoding``: float and int8 by cosine, binary by 1 - 2 h / bits. A null vector has null scores, a zero vector
+    cosine 0."""
+    metric = {"float": "cosine"}.get(encoding, encoding)
+    if metric not in METRICS:
+        raise ValidationError("encoding", f"unknown: {encoding}")
 
-def all_scores(queries: DataFrame, corpus: DataFrame, encoding: str = "float") -> DataFrame:
-    """(q, id, score) of every pair of ``queries`` (q, v) and ``corpus`` (id, v) as expressions."""
-    pairs = with_queries(corpus.select("id", F.col("v").alias("_b")), queries.select("q", F.col("v").alias("_a")))
-    return pairs.select("q", "id", V.vector_score(F.col("_a"), F.col("_b"), encoding).alias("score"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, names, vectors, rows in meetings(batches):
+            a, known = _matrix(vectors, None)
+            step = max(1, PAIRS // len(names))
+            for lo in range(0, rows.num_rows, step):
+                part = rows.slice(lo, step)
+                b, there = _matrix(part.column(1), a.shape[1] if known.any() else None)
+                if known.any() and there.any():
+                    score = _scores(_ready(b, metric), _ready(a, metric), metric)
+                    found = [score, b @ a.T] if product else [score]
+                else:
+                    found = [np.zeros((len(b), len(a)))] * (1 + product)
+                none = None if known.all() and there.all() else ~np.outer(there, known).reshape(-1)
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(ids))), pa.array(np.repeat(ids, len(names))), *(pa.array(x.reshape(-1), mask=none) for x in found)], names=["q", "id", "score", "product"][: 2 + len(found)])
+
+    parts = -(-corpus.count() // CORPUS_ROWS)
+    pairs = beside_blocks(corpus.repartition(parts) if parts > 1 else corpus, queries, QUERY_ROWS)
+    return pairs.mapInArrow(run, "q long, id long, score double" + ", product double" * product)
 
 
 METRICS = ("cosine", "ip", "l2", "int8", "binary")

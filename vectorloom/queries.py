@@ -130,8 +130,8 @@ def slerp(spark, sf_dir):
 @query(f"WITH {E}, {Q} SELECT q, vec_id AS id, round(list_inner_product(a, v) / sqrt(list_inner_product(a, a) * 1.0) / sqrt(list_inner_product(v, v)), 6) + 0.0 AS score, round(list_inner_product(a, v), 6) + 0.0 AS product FROM q, e")
 def cosine_pairs(spark, sf_dir):
     e = emb(spark, sf_dir)
-    pairs = S.with_queries(e, query_set(e).withColumnRenamed("v", "a"))
-    return pairs.select("q", F.col("vec_id").alias("id"), r6(V.cosine_similarity(F.col("a"), F.col("v"))).alias("score"), r6(V.inner_product(F.col("a"), F.col("v"))).alias("product"))
+    pairs = S.all_scores(query_set(e), e.select(F.col("vec_id").alias("id"), "v"), product=True)
+    return pairs.select("q", "id", r6(F.col("score")).alias("score"), r6(F.col("product")).alias("product"))
 
 
 @query(f"WITH {E}, {CENTROIDS} " + spread_sql("SELECT vec_id, list_transform(range(1, 65), lambda i: v[i] - list_inner_product(v, u) / list_inner_product(u, u) * u[i]) AS x FROM e, c WHERE c.label = (e.label + 1) % 10"))
