@@ -123,6 +123,25 @@ def test_pairs_of_large_query_sets_are_not_written(spark, monkeypatch):
     assert not asked
 
 
+def test_max_sim_ranks_all_without_a_shuffle_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(-3, 4, 4 * (k % 4)).astype(float) for k in range(150)]
+    ds = spark.createDataFrame([(i, d.tolist()) for i, d in enumerate(docs)] + [(999, None)], "id long, v array<double>").repartition(3)
+    qs = ds.where("id % 5 = 3").withColumnRenamed("id", "q")
+    monkeypatch.setattr(S, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(R, "CELLS", 900, raising=False)
+    asked = _written(monkeypatch, S)
+    out = R.max_sim_rank(qs, ds, 4)
+    got = {}
+    for r in out.orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append((r.id, r.score))
+    assert not asked and "Window" not in out._jdf.queryExecution().toString()
+    assert sorted(got) == list(range(3, 150, 5))
+    for a, rows in got.items():
+        score = [(docs[a].reshape(-1, 4) @ d.reshape(-1, 4).T).max(axis=1).sum() if len(d) and len(docs[a]) else 0.0 for d in docs]
+        assert rows == sorted(enumerate(score), key=lambda x: (-x[1], x[0]))
+
+
 def test_max_sim(spark):
     rng = np.random.default_rng(4)
     q, docs = rng.standard_normal((2, 4)), [rng.standard_normal((k, 4)) for k in (1, 3, 5)]

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from vectorloom.errors import DimensionError, ValidationError, positive, positive_int
 from vectorloom.functions import vectors as V
 from vectorloom.operators.blocks import unit_rows
-from vectorloom.operators.search import in_query_blocks, top_rows
+from vectorloom.operators.search import PAIRS, beside_blocks, in_query_blocks, meetings, top_rows
+
+#: Scores that a task holds where every document is ranked.
+CELLS = 8_000_000
 
 
 def tokens(df, column: str, dim: int):
@@ -32,7 +35,9 @@ def max_sim(query_tokens, doc_tokens):
 
 def max_sim_rank(queries: DataFrame, docs: DataFrame, dim: int, k: int | None = None) -> DataFrame:
     """(q, id, score, rank) of ``docs`` (id, v flat tokens) for the stated ``queries`` (q, v flat tokens), the k best of
-    each query where given. An Arrow batch of documents meets a block of queries in one matrix product of their tokens."""
+    each query where given. An Arrow batch of documents meets a block of queries in one matrix product of their tokens.
+    Without k, a task ranks its queries over all documents: it reads them, holds about ``CELLS`` scores, or those of one
+    query if there are more documents, and nothing is shuffled but the queries."""
     positive_int(dim, "dim")
 
     def flat(rows: list) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +47,16 @@ def max_sim_rank(queries: DataFrame, docs: DataFrame, dim: int, k: int | None =
             raise ValidationError("tokens", "the length is no multiple of the dimension")
         return np.concatenate([np.asarray(r, dtype=np.float64) for r in rows] or [np.empty(0)]).reshape(-1, dim), np.concatenate(([0], np.cumsum(sizes // dim)))
 
+    def scores(left: np.ndarray, starts: np.ndarray, part: pa.RecordBatch) -> np.ndarray:
+        """Of each query with each row (id, v) of ``part``."""
+        right, begins = flat([v.values.to_numpy(zero_copy_only=False) for v in part.column(1)])
+        some, whole = np.flatnonzero(np.diff(begins)), np.flatnonzero(np.diff(starts))
+        score = np.zeros((len(starts) - 1, part.num_rows))
+        if len(some) and len(whole):
+            best = np.maximum.reduceat(left @ right.T, begins[:-1][some], axis=1)  # a query token's best in each document
+            score[np.ix_(whole, some)] = np.add.reduceat(best, starts[:-1][whole], axis=0)
+        return score
+
     def over(block: list) -> DataFrame:
         names = np.array([r[0] for r in block], dtype=np.int64)
         left, starts = flat([r[1] for r in block])
@@ -51,16 +66,33 @@ def max_sim_rank(queries: DataFrame, docs: DataFrame, dim: int, k: int | None =
                 batch = batch.filter(batch.column(1).is_valid())
                 for lo in range(0, batch.num_rows, 1024):
                     part = batch.slice(lo, 1024)
-                    right, begins = flat([v.values.to_numpy(zero_copy_only=False) for v in part.column(1)])
-                    some, whole = np.flatnonzero(np.diff(begins)), np.flatnonzero(np.diff(starts))
-                    score = np.zeros((len(names), part.num_rows))
-                    if len(some) and len(whole):
-                        best = np.maximum.reduceat(left @ right.T, begins[:-1][some], axis=1)  # a query token's best in each document
-                        score[np.ix_(whole, some)] = np.add.reduceat(best, starts[:-1][whole], axis=0)
-                    yield top_rows(score, part.column(0).to_numpy(zero_copy_only=False), names, k)
+                    yield top_rows(scores(left, starts, part), part.column(0).to_numpy(zero_copy_only=False), names, k)
 
         return docs.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "q long, id long, score double")
 
+    def rank_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, tokens_of, held = {}, {}, {}
+        for block, q, vectors, rows in meetings(batches):
+            if block not in names:
+                names[block], tokens_of[block], held[block] = q, flat([v.values.to_numpy(zero_copy_only=False) for v in vectors]), []
+            rows = rows.filter(rows.column(1).is_valid())
+            for lo in range(0, rows.num_rows, 1024):
+                part = rows.slice(lo, 1024)
+                held[block].append((part.column(0).to_numpy(zero_copy_only=False), scores(*tokens_of[block], part)))
+        for block, parts in held.items():
+            if not parts:
+                continue
+            ids, found = np.concatenate([p[0] for p in parts]), [p[1] for p in parts]
+            for i, q in enumerate(names[block].tolist()):
+                score = np.concatenate([s[i] for s in found])
+                order = np.lexsort((ids, -np.round(score, 9)))
+                for lo in range(0, len(order), PAIRS):
+                    some = order[lo : lo + PAIRS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), q)), pa.array(ids[some]), pa.array(score[some]), pa.array(np.arange(lo + 1, lo + len(some) + 1))], names=["q", "id", "score", "rank"])
+
+    if k is None:
+        rows = max(1, CELLS // max(1, docs.count()))
+        return beside_blocks(docs.coalesce(1), queries.where("v is not null"), rows).mapInArrow(rank_all, "q long, id long, score double, rank long")
     return in_query_blocks(queries, docs, over, k)
 
 
