@@ -155,8 +155,8 @@ _INT8 = "list_transform({v}, lambda x: CAST(greatest(-128, least(127, floor(x *
 @query(f"WITH {E}, k AS (SELECT vec_id, {_INT8.format(v='v')} AS v FROM e), q AS (SELECT vec_id AS q, v AS a FROM k WHERE vec_id % 20 = 0) SELECT q, vec_id AS id, CAST(list_inner_product(a, v) AS BIGINT) AS product, round(list_inner_product(a, v) / sqrt(list_inner_product(a, a) * list_inner_product(v, v)), 6) + 0.0 AS score FROM q, k")
 def int8_dot(spark, sf_dir):
     e = emb(spark, sf_dir).select("vec_id", V.quantize_int8(F.col("v")).alias("v"))
-    pairs = S.with_queries(e, query_set(e).withColumnRenamed("v", "a"))
-    return pairs.select("q", F.col("vec_id").alias("id"), V.int8_dot(F.col("a"), F.col("v")).alias("product"), r6(V.int8_cosine(F.col("a"), F.col("v"))).alias("score"))
+    pairs = S.all_scores(query_set(e), e.select(F.col("vec_id").alias("id"), "v"), "int8", product=True)
+    return pairs.select("q", "id", F.col("product").cast("long").alias("product"), r6(F.col("score")).alias("score"))
 
 
 _ROUTE = f"s AS (SELECT vec_id, label AS expert, v, u, list_inner_product(v, u) / sqrt(list_inner_product(v, v)) / sqrt(list_inner_product(u, u)) AS score FROM (SELECT vec_id, v FROM e), (SELECT label, u FROM c))"
