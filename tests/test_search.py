@@ -123,6 +123,21 @@ def test_pairs_of_large_query_sets_are_not_written(spark, monkeypatch):
     assert not asked
 
 
+def test_top_k_by_scores_spills_no_pair(spark, monkeypatch):
+    """Each task sorts a bounded number of pairs, and only its k best of a query are shuffled."""
+    df = spark.createDataFrame([(i, [float(i % 13), 1.0]) for i in range(200)], "id long, v array<double>").coalesce(1)
+    q = df.where("id < 40").withColumnRenamed("id", "q")
+    for name, value in {"QUERY_BLOCK": 10, "QUERY_ROWS": 10, "CORPUS_ROWS": 50}.items():
+        monkeypatch.setattr(S, name, value, raising=False)
+    asked = _written(monkeypatch, S)
+    scores = S.all_scores(q, df)
+    assert scores.rdd.getNumPartitions() >= 16 and not asked  # 4 blocks of queries by 4 parts of the corpus
+    assert max(scores.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) <= 2000
+    monkeypatch.undo()
+    want = sorted((r.q, r.id, r.rank) for r in S.top_k(q, df, 4).collect())
+    assert sorted((r.q, r.id, r.rank) for r in S.ranked(scores, 4).collect()) == want
+
+
 def test_max_sim_ranks_all_without_a_shuffle_of_pairs(spark, monkeypatch):
     rng = np.random.default_rng(7)
     docs = [rng.integers(-3, 4, 4 * (k % 4)).astype(float) for k in range(150)]
