@@ -1,6 +1,8 @@
 import random
 import time
 
+from pyspark.sql import functions as F
+
 from vectorloom.llm import html_extract as H
 
 
@@ -66,6 +68,31 @@ def test_table(spark, monkeypatch):
     assert H.extract_pages(df.limit(0)).count() == 0
 
 
+def test_all_pages_of_a_host_make_its_wrapper(spark):
+    """The pages with the smallest hash agree on a text that later pages vary: it is no constant."""
+    order = [r.id for r in spark.range(120).orderBy(F.xxhash64("id"), "id").collect()]
+    rows, want = [], {}
+    for k, i in enumerate(order):
+        note = "Status: open" if k < 40 else f"Status: closed by person {i}"
+        rows.append((i, f"http://host/{i}", f"<body><article><h1>Head {i}</h1><div>{note}</div><p>word{i} of page{i} and more{i}</p></article></body>"))
+        want[i] = f"Head {i}\n\n{note}\n\nword{i} of page{i} and more{i}"
+    got = H.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
+def test_copies_are_told_as_by_comparing_all():
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abcdef") + str(j) for j in range(rng.choice([0, 1, 2, 3, 6, 40]))) for _ in range(60)]
+    texts += [" ".join(w if rng.random() > rate else "z" for w in t.split()) for t in texts for rate in (0.0, 0.02, 0.06)]
+    copies, seen = H._Copies(), []
+    for text in texts:
+        words = text.split()
+        own = set(zip(words, words[1:], words[2:], strict=False)) or {tuple(words)}
+        fresh = all(len(own & other) < H.COPY * len(own | other) for other in seen)
+        assert copies.fresh(text) == fresh
+        seen += [own] * fresh
+
+
 def test_the_wrapper_decides_inside_the_main_element():
     """The same page on two hosts that differ only in their template: what one prints on every page the other varies."""
 

@@ -14,6 +14,7 @@ Pages are read by a linear scan, and every tree walk keeps its own stack, so nei
 from __future__ import annotations
 
 import html as _html
+import math
 import re
 from bisect import bisect_left
 from collections import defaultdict
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm.common import Scratch
 
-#: Pages of a share of a host that its wrapper is fitted on; pages of a share at most; hosts over one share in a broadcast.
-SAMPLE_PAGES, SHARE_PAGES, MOST_BROADCAST = 24, 240, 200_000
+#: Pages and characters of a share of a host, about; hosts over one share in a broadcast.
+SHARE_PAGES, SHARE_CHARS, MOST_BROADCAST = 240, 8_000_000, 200_000
 #: Pages that must agree on a text before it is a constant; share of three-word shingles that makes a page a copy.
 FIRM, COPY = 3, 0.8
 #: Share of an element's slot text that one child must hold for the main region to lie in it; cells of an alignment table.
@@ -307,28 +308,37 @@ def _optional(x: list) -> list:
     return [x[0], x[1] or "?", *x[2:]]
 
 
-def _distinct(pages: list[str]) -> list[str]:
-    """The pages without copies and near copies of earlier ones: what copies agree on is no template."""
-    out, seen = [], []
-    for page in pages:
-        words = extract(page, None).split()
-        own = set(zip(words, words[1:], words[2:], strict=False)) or {tuple(words)}
-        if all(len(own & other) < COPY * len(own | other) for other in seen):
-            out.append(page)
-            seen.append(own)
-    return out
+class _Copies:
+    """Tells copies and near copies of earlier pages: what copies agree on is no template. Sets of three-word shingles that
+    overlap by ``COPY`` share one of the first in one order, so only pages that do are compared."""
+
+    def __init__(self):
+        self.sets, self.holders = [], defaultdict(list)
+
+    def fresh(self, text: str) -> bool:
+        words = text.split()
+        own = set(map(hash, zip(words, words[1:], words[2:], strict=False))) or {hash(tuple(words))}
+        first = sorted(own)[: len(own) - math.ceil(COPY * len(own) - 1e-9) + 1]
+        if any(len(own & self.sets[k]) >= COPY * len(own | self.sets[k]) for k in {k for h in first for k in self.holders.get(h, ())}):
+            return False
+        for h in first:
+            self.holders[h].append(len(self.sets))
+        self.sets.append(own)
+        return True
 
 
 def infer(pages: list[str]) -> dict:
     """The wrapper of pages of one host: {"pages": n, "root": children, "region": children of the main region, or None};
     n counts pages that are no copies."""
     root: list[list] | None = None
-    pages = _distinct(pages)
+    copies, count = _Copies(), 0
     for page in pages:
-        own = _of_page(parse(page))
-        root = own if root is None else align(root, own)
+        tree = parse(page)
+        if copies.fresh(_read(tree, None, _main_level(tree)) if page else ""):
+            own = _of_page(tree)
+            root, count = own if root is None else align(root, own), count + 1
     root = root or []
-    return {"pages": len(pages), "root": root, "region": _region(root, len(pages)) if len(pages) >= FIRM else None, "index": {}}
+    return {"pages": count, "root": root, "region": _region(root, count) if count >= FIRM else None, "index": {}}
 
 
 def _region(root: list[list], pages: int) -> list | None:
@@ -502,53 +512,49 @@ OUT_DDL = "page_id long, url string, text string, n_chars long"
 
 
 def _map_extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host and part: the first pages of each make the wrapper, and all are read with it."""
-    key, waiting, wrapper = None, [], None
+    """Rows sorted by host and part: all pages of each make the wrapper, and are then read with it."""
+    key, waiting = None, []
     out: list[tuple] = []
 
-    def read(row: tuple) -> None:
-        text = extract(row[2], wrapper)
-        out.append((row[0], row[1], text, len(text)))
-
-    def settle() -> None:
-        nonlocal wrapper
+    def settle() -> Iterator[pa.RecordBatch]:
         wrapper = infer([r[2] for r in waiting if r[2]])
         for row in waiting:
-            read(row)
+            text = extract(row[2], wrapper)
+            out.append((row[0], row[1], text, len(text)))
+            if len(out) >= 500:
+                yield whole()
         waiting.clear()
 
+    def whole() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+        out.clear()
+        return batch
+
     for batch in batches:
         for host, part, *row in zip(*(batch.column(c) for c in ("host", "part", "page_id", "url", "html")), strict=True):
             host, part, row = host.as_py(), part.as_py(), tuple(x.as_py() for x in row)
             if (host, part) != key:
-                settle()
-                key, wrapper = (host, part), None
-            if wrapper is not None:
-                read(row)
-            else:
-                waiting.append(row)
-                if len(waiting) >= SAMPLE_PAGES:
-                    settle()
-            if len(out) >= 500:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
-                out.clear()
-    settle()
+                yield from settle()
+                key = (host, part)
+            waiting.append(row)
+    yield from settle()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _OUT, strict=True)], schema=_OUT)
+        yield whole()
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
 
     The host is the authority part of the url, without user and port, in lower case; a null or strange url gives the
-    empty host. A host with more than ``SHARE_PAGES`` pages is dealt in as many shares by the hash of the page id. Of
-    each share, the ``SAMPLE_PAGES`` pages with the smallest hash make the wrapper, and every page is then extracted
-    whole, so a task holds that many pages at once. Null, empty and blank pages have the empty text; n_chars counts code
+    empty host. A host with more than ``SHARE_PAGES`` pages or ``SHARE_CHARS`` characters is dealt in as many shares by the
+    hash of the page id. All pages of a share make its wrapper, and every page is then extracted whole, so a task holds a
+    share at once. Null, empty and blank pages have the empty text; n_chars counts code
     points. Repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
     """
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^.*@|:\d*$", ""))
     rows = pages.select(host.alias("host"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    hot = Scratch(pages.sparkSession, "hosts").keep(rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > SHARE_PAGES).select("host", F.ceil(F.col("n") / SHARE_PAGES).cast("int").alias("parts")))
+    parts = F.greatest(F.ceil(F.count("*") / SHARE_PAGES), F.ceil(F.coalesce(F.sum(F.length("html")), F.lit(0)) / SHARE_CHARS)).cast("int")
+    hot = Scratch(pages.sparkSession, "hosts").keep(rows.groupBy("host").agg(parts.alias("parts")).where("parts > 1"))
     hot = F.broadcast(hot) if hot.count() <= MOST_BROADCAST else hot
     dealt = rows.join(hot, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     # several partitions for each of a usual shuffle, since whole pages travel
