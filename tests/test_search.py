@@ -1,10 +1,12 @@
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vectorloom import queries as core
 from vectorloom.functions import vectors as V
 from vectorloom.operators import metrics as M
 from vectorloom.operators import rerank as R
@@ -138,6 +140,55 @@ def test_top_k_by_scores_spills_no_pair(spark, monkeypatch):
     assert sorted((r.q, r.id, r.rank) for r in S.ranked(scores, 4).collect()) == want
 
 
+def test_search_topk_expr_ranks_k_rows_of_few_parts(spark, monkeypatch, tmp_path):
+    """What is shuffled grows with the queries, not with queries times parts of the corpus; the rows are those of the SQL."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-9, 10, (900, 64)) / np.float32(8)
+    x[100:140], x[300] = x[0], x[20]
+    rows = [(i, None if i in (5, 40) else v.tolist(), i % 3) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, value in {"QUERY_ROWS": 16, "CORPUS_ROWS": 20, "PAIRS": 500}.items():
+        monkeypatch.setattr(S, name, value)
+    ranked, given = S.ranked, []
+    monkeypatch.setattr(S, "ranked", lambda rows, *a, **b: given.append(rows.count()) or ranked(rows, *a, **b))
+    got = sorted((r.q, r["rank"], r.id, r.score) for r in core.QUERIES["search_topk_expr"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted((q, rank, id_, score) for q, id_, rank, score in con.execute(core.ORACLES["search_topk_expr"]).fetchall())
+    assert [(a[:3], a[3] is None) for a in got] == [(a[:3], a[3] is None) for a in want] and len(got) == 450
+    assert [a[3] for a in got if a[3] is not None] == pytest.approx([a[3] for a in want if a[3] is not None], abs=2e-6)
+    assert given and max(given) <= 10 * 45 * 8  # 45 queries, 45 parts of 20 rows if nothing bounds them
+
+
+def test_best_scores_on_odd_vectors(spark, monkeypatch):
+    """Nulls last, NaN first, zero vectors 0, copies by number, a number asked twice: as all pairs ranked."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((70, 8))  # not of single precision
+    x[30:] = rng.integers(-5, 6, (40, 8))
+    x[3], x[50:60], x[7] = 0, x[31], [np.nan] * 8
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, None) for i in range(70, 90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    df = df.where("id < 30").coalesce(1).union(df.where("id >= 30").coalesce(1))
+    q = df.where("id % 5 in (0, 1) or id in (3, 7)").withColumnRenamed("id", "q")
+    q = q.union(spark.createDataFrame([(5, x[40].tolist())], "q long, v array<double>"))
+    bytes_ = df.where("id >= 30").withColumn("v", F.col("v").cast("array<tinyint>"))
+    cases = [("float", df, q), ("float", df.where("id in (1, 2, 3, 75, 76)"), q), ("float", df.where("id > 75"), q), ("float", df, q.where("q > 70"))]
+    cases += [("int8", bytes_, bytes_.where("id % 7 = 0").withColumnRenamed("id", "q")), ("binary", bytes_, bytes_.where("id % 7 = 0").withColumnRenamed("id", "q"))]
+    show = lambda rows: sorted((r.q, r["rank"], r.id, "none" if r.score is None else f"{r.score + 0.0:.9f}".replace("-0.000000000", "0.000000000")) for r in rows)
+    for encoding, corpus, queries in cases:
+        want = show(S.ranked(S.all_scores(queries, corpus, encoding), 6).collect())
+        assert show(S.best_scores(queries, corpus, 6, encoding).collect()) == want and want
+        with monkeypatch.context() as m:
+            for name, value in {"QUERY_ROWS": 4, "CORPUS_ROWS": 9, "PAIRS": 30, "PACKED": 100}.items():
+                m.setattr(S, name, value)
+            assert show(S.best_scores(queries, corpus, 6, encoding).collect()) == want
+    assert S.best_scores(q.limit(0), df, 6).count() == S.best_scores(q, df.limit(0), 6).count() == 0
+    with pytest.raises(Exception, match="dimension"):
+        S.best_scores(q, spark.createDataFrame([(1, [1.0] * 4)], "id long, v array<double>"), 6).collect()
+    with pytest.raises(Exception, match="unknown"):
+        S.best_scores(q, df, 6, "l2")
+
+
 def test_max_sim_ranks_all_without_a_shuffle_of_pairs(spark, monkeypatch):
     rng = np.random.default_rng(7)
     docs = [rng.integers(-3, 4, 4 * (k % 4)).astype(float) for k in range(150)]

@@ -7,10 +7,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.errors import ValidationError, positive_int
+from vectorloom.errors import DimensionError, ValidationError, positive_int
 from vectorloom.functions import vectors as V
 from vectorloom.operators.blocks import block_of, unit_rows
 from vectorloom.session import shared_folder
@@ -21,6 +22,9 @@ QUERY_BLOCK = 4096
 QUERY_ROWS, CORPUS_ROWS, PAIRS = 256, 4096, 200_000
 #: Queries and corpus rows that meet in one task where pairs are made by expressions.
 QUERY_ROWS, CORPUS_ROWS = 256, 4096
+#: Parts of the corpus of which each sends its k best of a query; bytes of the vectors in a packed row, of which an Arrow
+#: batch has 10 000 at most.
+PARTS, PACKED = 4, 8192
 
 
 def ranked(scores: DataFrame, k: int | None, by: str = "q", order: tuple[Column, ...] | None = None, rank: str = "rank") -> DataFrame:
@@ -46,12 +50,20 @@ def beside_blocks(corpus: DataFrame, queries: DataFrame, rows: int) -> DataFrame
     """(block, id, v, own): the rows (id, v) of ``corpus`` beside blocks of about ``rows`` rows (q, v) of ``queries``, as a
     Cartesian product of partitions, so that nothing is broadcast or written. ``own``, the block's rows, stands only beside
     the first row of each partition of the corpus (see ``meetings``)."""
-    queries = queries.select(F.col("q").cast("long").alias("q"), F.col("v").cast("array<double>").alias("v"))
+    return _beside(_doubles(corpus, "id"), queries, rows)
+
+
+def _doubles(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.col(name).cast("long").alias(name), F.col("v").cast("array<double>").alias("v"))
+
+
+def _beside(left: DataFrame, queries: DataFrame, rows: int) -> DataFrame:
+    """(block, the columns of ``left``, own), as ``beside_blocks`` says."""
+    queries = _doubles(queries, "q")
     blocks = max(1, -(-queries.count() // rows))
     packed = queries.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("own")).repartitionByRange(blocks, "block")
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # its lower bits number a partition's rows
-    left = corpus.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), first.alias("first"))
-    return left.crossJoin(packed.hint("shuffle_replicate_nl")).select("block", "id", "v", F.when(F.col("first"), F.col("own")).alias("own"))
+    return left.withColumn("first", first).crossJoin(packed.hint("shuffle_replicate_nl")).select("block", *left.columns, F.when(F.col("first"), F.col("own")).alias("own"))
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.ListArray, pa.RecordBatch]]:
@@ -59,10 +71,10 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarra
     held: dict[int, tuple[np.ndarray, pa.ListArray]] = {}
     for batch in batches:
         block = batch.column(0).to_numpy(zero_copy_only=False)
-        for k in np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist():
-            names, vectors = batch.column(3).slice(k, 1).flatten().flatten()
+        for k in np.flatnonzero(batch.column(batch.num_columns - 1).is_valid().to_numpy(zero_copy_only=False)).tolist():
+            names, vectors = batch.column(batch.num_columns - 1).slice(k, 1).flatten().flatten()
             held[int(block[k])] = names.to_numpy(zero_copy_only=False), vectors
-        rows = batch.select([1, 2])
+        rows = batch.select(range(1, batch.num_columns - 1))
         for b in np.unique(block).tolist():
             yield b, *held[b], rows if (block == b).all() else rows.filter(pa.array(block == b))
 
@@ -106,6 +118,122 @@ def all_scores(queries: DataFrame, corpus: DataFrame, encoding: str = "float", p
     return pairs.mapInArrow(run, "q long, id long, score double" + ", product double" * product)
 
 
+def best_scores(queries: DataFrame, corpus: DataFrame, k: int, encoding: str = "float") -> DataFrame:
+    """(q, id, score, rank): of the pairs of ``all_scores``, the ``k`` best of each query; ties go to the smaller id. NaN is
+    the largest score, null the smallest, as in SQL.
+
+    Each task meets a block of queries with one of at most ``PARTS`` parts of the corpus, keeps its k best of a query and
+    sends nothing else, so what is shuffled grows with the tables and not with their pairs. The corpus crosses in packed
+    rows: a Cartesian product copies the block beside each of its rows."""
+    positive_int(k, "k")
+    metric = {"float": "cosine"}.get(encoding, encoding)
+    if metric not in ("cosine", "int8", "binary"):
+        raise ValidationError("encoding", f"unknown: {encoding}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, int, _Best]] = {}
+        for block, names, vectors, rows in meetings(batches):
+            if block not in held:
+                x, known = _matrix(vectors, None)
+                held[block] = _ready(x, metric) if known.any() else x, x.shape[1], _Best(names, known, k)
+            a, dim, best = held[block]
+            step = max(1, PAIRS // len(names))
+            for ids, x in _unpacked(rows, dim if best.known.any() else None):
+                for lo in range(0, len(ids), step):
+                    some = ids[lo : lo + step]
+                    best.add(some, np.full((len(some), len(names)), -np.inf) if x is None else _scores(_ready(x[lo : lo + step].astype(np.float64), metric), a, metric))
+        for _, _, best in held.values():
+            yield best.rows()
+
+    parts = min(PARTS, -(-corpus.count() // CORPUS_ROWS))
+    packed = _doubles(corpus, "id").mapInArrow(_pack, "ids binary, v binary, single binary")
+    met = _beside(packed.repartition(parts) if parts > 1 else packed.coalesce(1), queries, QUERY_ROWS)
+    return ranked(met.mapInArrow(run, "q long, id long, score double, key double"), k, order=(F.col("key").desc(), F.col("id").asc())).drop("key")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ids, v, single) of rows (id, v): numbers and vectors of several rows as bytes. Vectors stand in ``single`` where that
+    keeps their values, else in ``v``; both are null for vectors that are null."""
+    for batch in batches:
+        there = batch.column(1).is_valid()
+        ids, x = batch.column(0).filter(there).to_numpy(), block_of(batch.column(1).drop_null(), None)
+        with np.errstate(over="ignore"):
+            y = x.astype(np.float32)
+        single = np.array_equal(x, y, equal_nan=True)
+        none = batch.column(0).filter(batch.column(1).is_null()).to_numpy()
+        step = max(1, PACKED // max(8, (4 if single else 8) * x.shape[1]))
+        cuts = [(ids[lo : lo + step].tobytes(), (y if single else x)[lo : lo + step].tobytes()) for lo in range(0, len(ids), step)]
+        cuts += [(none[lo : lo + PACKED // 8].tobytes(), None) for lo in range(0, len(none), PACKED // 8)]
+        columns = [c[0] for c in cuts], [None if single else c[1] for c in cuts], [c[1] if single else None for c in cuts]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["ids", "v", "single"])
+
+
+def _unpacked(rows: pa.RecordBatch, dim: int | None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The numbers and the vectors in rows of ``_pack``; None for vectors that are null, or all of them without ``dim``."""
+    kinds = [(rows.column(at).is_valid(), at, kind) for at, kind in ((1, np.float64), (2, np.float32))]
+    for there, at, kind in [*kinds, (pc.invert(pc.or_(kinds[0][0], kinds[1][0])), 0, None)]:
+        if (part := rows.filter(there)).num_rows:
+            sizes, ids = _bytes(part.column(0))
+            ids = ids.view(np.int64)
+            if kind is None or dim is None:
+                yield ids, None
+                continue
+            widths, x = _bytes(part.column(at))
+            if (bad := widths * 8 != sizes * dim * np.dtype(kind).itemsize).any():
+                raise DimensionError(dim, int(widths[bad][0] * 8 // (sizes[bad][0] * np.dtype(kind).itemsize)), "vector")
+            yield ids, x.view(kind).reshape(len(ids), dim)
+
+
+def _bytes(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of bytes of each row, and those of all rows."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    if offsets[0] == offsets[-1]:
+        return np.diff(offsets), np.empty(0, dtype=np.uint8)
+    return np.diff(offsets), np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+
+
+class _Best:
+    """The k best (id, score) of each query so far, by the score rounded to nine decimals and the id."""
+
+    def __init__(self, names: np.ndarray, known: np.ndarray, k: int):
+        self.names, self.known, self.k = names, known, k
+        self.at, self.key, self.id, self.score = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0)
+        self.least = np.full(len(names), -np.inf)  # key and id of the k-th
+        self.last = np.full(len(names), np.iinfo(np.int64).max)
+        self.more: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, ids: np.ndarray, score: np.ndarray) -> None:
+        """Rows ``ids`` and their scores (rows x queries); -inf is null."""
+        if not self.known.all():
+            score[:, ~self.known] = -np.inf
+        low = self.least - 2e-9
+        if not len(self.at) and len(ids) > self.k:
+            low = np.partition(np.where(np.isnan(score), np.inf, score), -self.k, axis=0)[-self.k] - 2e-9
+        row, at = np.nonzero(~(score < low))
+        found = score[row, at]
+        key = np.where(np.isnan(found), np.inf, np.copysign(np.floor(np.abs(found) * 1e9 + 0.5), found) / 1e9)
+        some = (key > self.least[at]) | (key == self.least[at]) & (ids[row] <= self.last[at])
+        self.more.append((at[some], key[some], ids[row[some]], found[some]))
+        if sum(len(m[0]) for m in self.more) >= self.k * len(self.names):
+            self.merge()
+
+    def merge(self) -> None:
+        at, key, ids, score = (np.concatenate(x) for x in zip((self.at, self.key, self.id, self.score), *self.more, strict=True))
+        order = np.lexsort((ids, -key, at))
+        begins = np.searchsorted(at[order], np.arange(len(self.names) + 1))
+        order = order[np.arange(len(order)) - begins[at[order]] < self.k]
+        self.at, self.key, self.id, self.score, self.more = at[order], key[order], ids[order], score[order], []
+        ends = np.searchsorted(self.at, np.arange(len(self.names)), side="right") - 1
+        full = np.bincount(self.at, minlength=len(self.names)) == self.k
+        self.least[full], self.last[full] = self.key[ends[full]], self.id[ends[full]]
+
+    def rows(self) -> pa.RecordBatch:
+        """(q, id, score, key)"""
+        self.merge()
+        none = self.key == -np.inf
+        return pa.RecordBatch.from_arrays([pa.array(self.names[self.at]), pa.array(self.id), pa.array(self.score, mask=none), pa.array(self.key, mask=none)], names=["q", "id", "score", "key"])
+
+
 METRICS = ("cosine", "ip", "l2", "int8", "binary")
 
 

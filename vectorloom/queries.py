@@ -413,7 +413,7 @@ def search_topk(spark, sf_dir):
 @query(f"WITH {E}, {Q} SELECT q, id, CAST(rank AS BIGINT) AS rank, round(score, 6) + 0.0 AS score FROM ({_ranked(_SCORES)})")
 def search_topk_expr(spark, sf_dir):
     e = emb(spark, sf_dir)
-    return S.ranked(S.all_scores(query_set(e), e.select(F.col("vec_id").alias("id"), "v")), 10).select("q", "id", "rank", r6(F.col("score")).alias("score"))
+    return S.best_scores(query_set(e), e.select(F.col("vec_id").alias("id"), "v"), 10).select("q", "id", "rank", r6(F.col("score")).alias("score"))
 
 
 def _sql_search(spark, sf_dir, operator):
