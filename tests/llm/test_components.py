@@ -1,5 +1,6 @@
 import numpy as np
 
+from vectorloom.llm import common
 from vectorloom.llm.common import Scratch, connected_components, mix, mix_int, sample_share, word_hashes
 
 
@@ -27,6 +28,17 @@ def test_components_match_brute_force(spark):
     assert connected_components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_components_of_dealt_out_paths_take_one_round(spark, monkeypatch):
+    """Forests of all partitions are merged before the rounds; where they are too large for one task, rounds do the rest."""
+    edges = [(1000 * p + i, 1000 * p + i + 1) for p in range(5) for i in range(300)]
+    df = spark.createDataFrame([edges[i] for i in np.random.default_rng(2).permutation(len(edges))], "src long, dst long").repartition(8)
+    scratch = Scratch(spark, "t")
+    assert {r.node: r.component for r in connected_components(df, scratch).collect()} == brute(edges)
+    assert scratch.count <= 4
+    monkeypatch.setattr(common, "FOREST", 400)
+    assert {r.node: r.component for r in connected_components(df, Scratch(spark, "t")).collect()} == brute(edges)
+
+
 def test_word_hashes():
     texts = ["The cat\tsat", None, "", "  \n ", "the CAT sat", "x" * 3_000_000 + " the", "é É"]
     flat, starts = word_hashes(texts)
